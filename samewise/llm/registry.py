@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import topn
+from samewise.llm import encode, topn, visual
 
-MODULES = [topn]
+MODULES = [topn, visual, encode]
 
 
 def queries() -> dict:
