@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import encode, topn, visual
+from samewise.llm import encode, garbled, topn, visual
 
-MODULES = [topn, visual, encode]
+MODULES = [topn, visual, encode, garbled]
 
 
 def queries() -> dict:
