@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import encode, garbled, topn, visual
+from samewise.llm import encode, garbled, mixture, topn, visual
 
-MODULES = [topn, visual, encode, garbled]
+MODULES = [topn, visual, encode, mixture, garbled]
 
 
 def queries() -> dict:
