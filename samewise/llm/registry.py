@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import encode, garbled, mixture, topn, visual
+from samewise.llm import encode, garbled, mixture, topn, variants, visual
 
-MODULES = [topn, visual, encode, mixture, garbled]
+MODULES = [topn, visual, variants, encode, mixture, garbled]
 
 
 def queries() -> dict:
