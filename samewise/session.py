@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def local_session(cores: int = 8, app: str = "samewise") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each application, so that they need no path set up."""
+    sc = spark.sparkContext
+    if getattr(sc, "_samewise", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="samewise-")) / "samewise.zip"  # of the driver; the workers fetch it from there
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._samewise = sc.applicationId
     return spark
 
 
