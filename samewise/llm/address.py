@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.llm.names import damerau, fold, plain
+from samewise.llm.names import damerau, plain
 from samewise.session import cut, staged, table
 
 GRAM, BUCKETS = 3, 1 << 18
@@ -95,7 +95,7 @@ def parse(raw: str | None) -> Address:
         elif len(t) >= 5 and (k := _mistyped(t)):
             kinds.add(k)
         elif t not in _LITTLE and t not in COUNTRIES:
-            words.append(fold(t))
+            words.append(re.sub(r"(.)\1+", r"\1", t))
     return Address((house, post, frozenset(kinds), tuple(words)))
 
 

@@ -29,8 +29,8 @@ NICKNAMES = {
     "johannes": "hans johann jo", "krishnan": "kris krish krishna", "venkatesh": "venky venkat", "rajendra": "raju raj rajen", "mohammed": "mohd md mohammad muhammad mohamed", "lakshmi": "laxmi lakhi", "francois": "franck fran fanfan", "richard": "dick rick rich",
     "charles": "charlie chuck", "thomas": "tom tommy", "joseph": "joe joey", "edward": "ed eddie ted", "patricia": "pat patty tricia", "jennifer": "jen jenny", "susan": "sue susie", "anthony": "tony", "daniel": "dan danny", "suresh": "suri", "subramaniam": "subbu mani",
 }
-_dba = re.compile(r"^.+?\b(?:t/a|d/b/a|a/k/a|o/a|dba|aka|trading as|doing business as)\s+(.+)$", re.I | re.S)
-_junk = re.compile(r"\(\s*id\s*:?\s*\d+\s*\)|\bid\s*:\s*\d+|#\s*\d+|[-–]\s*\+?\d[\d\s]{6,}\d\s*$", re.I)
+_dba = re.compile(r"^.+\b(?:t/a|d/b/a|a/k/a|o/a|dba|aka|trading as|doing business as)\s+(.+)$", re.I | re.S)
+_junk = re.compile(r"\(\s*id\s*:?\s*\d+\s*\)|\bid\s*:\s*\d+|#\s*\d+|(?:[-–]\s*\+?\d[\d\s]{6,}\d\W*)+$", re.I)
 _web = re.compile(r"^\W*(?:https?://)?(?:www\.)?([\w-]{3,})\.(?:example|com|net|org|in|co|fr|de|us|biz|info|shop|site|io)\b[\w./-]*\W*$", re.I)
 _spaced = re.compile(r"\b(?:[^\W\d_] ){1,}[^\W\d_]\b")
 _LEET = str.maketrans("0134578", "oleastb")
@@ -49,7 +49,6 @@ def fold(t: str) -> str:
         return t
     for a, b in (("zh", "j"), ("ph", "f"), ("oo", "u"), ("ee", "i"), ("ck", "k"), ("sch", "s"), ("ae", "a"), ("ou", "u")):
         t = t.replace(a, b)
-    t = t[:1] + re.sub(r"(?<=[bcdgjkptrlns])h", "", t[1:]) if len(t) > 1 and t[1] != "h" else t[:1] + re.sub(r"(?<=[bcdgjkptrlns])h", "", t[2:])
     t = t.replace("w", "v").replace("c", "k").replace("q", "k").replace("y", "i")
     return re.sub(r"(.)\1+", r"\1", t)
 
@@ -57,25 +56,32 @@ def fold(t: str) -> str:
 _NICK = {(fold(full), fold(n)) for full, ns in NICKNAMES.items() for n in ns.split()}
 
 
+#: Words before a name that one may leave out.
+TITLES = frozenset(fold(t) for t in ("shri", "sri", "shree", "smt", "sai", "om", "new", "messrs", "m", "dr", "mr", "mrs", "ms"))
+
+
 class Name(tuple):
-    """(tokens in order, without legal forms; legal forms; whether it was written in an Indic script; whether it is a web name)."""
+    """(tokens in order, without legal forms; legal forms; whether it was written in an Indic script; whether it is a web name; the
+    first letters of all words, legal forms included; the first word as it is written)."""
 
     __slots__ = ()
     tokens = property(lambda self: self[0])
     legal = property(lambda self: self[1])
     indic = property(lambda self: self[2])
     web = property(lambda self: self[3])
+    initials = property(lambda self: self[4])
+    word = property(lambda self: self[5])
 
 
 @lru_cache(1 << 16)
 def parse(raw: str | None) -> Name:
     """The Name of raw; a null or empty one has no tokens."""
     if not raw:
-        return Name(((), frozenset(), False, False))
+        return Name(((), frozenset(), False, False, "", ""))
     s = look(raw)
     web = _web.match(s)
     if web:
-        return Name(((fold_word(plain(web[1]).replace("-", "")),), frozenset(), False, True))
+        return Name(((re.sub(r"^the(?=\w{6})", "", fold_word(plain(web[1]).replace("-", ""))),), frozenset(), False, True, "", ""))
     s = _junk.sub(" ", s)
     if m := _dba.match(s):
         s = m[1]
@@ -92,15 +98,17 @@ def parse(raw: str | None) -> Name:
     s = re.sub(r"\blimited liability partnership\b", "llp", s)
     s = re.sub(r"\bges(?:ellschaft)? mbh\b", "gmbh", s)
     s = re.sub(r"\bp ltd\b", "pvt ltd", s)
-    tokens, legal = [], set()
+    tokens, legal, initials, word = [], set(), "", ""
     for t in s.split():
         if any(c.isdigit() for c in t) and sum(c.isalpha() for c in t) >= 2:
             t = t.translate(_LEET)
+        if t not in ("the", "and", "of", "et", "und"):
+            initials, word = initials + t[0], word or t
         if t in LEGAL:
             legal.add(LEGAL[t])
         elif t not in ("the", "and", "of", "et", "und"):
             tokens.append(fold_word(SHORT.get(t, t)))
-    return Name((tuple(tokens), frozenset(legal), indic, False))
+    return Name((tuple(tokens), frozenset(legal), indic, False, initials, word))
 
 
 def fold_word(t: str) -> str:
@@ -248,7 +256,7 @@ def align(a: Name, b: Name, slack: int = 0) -> tuple[list[tuple[str, str, float]
 
 
 def _own(a: Name, common) -> str:
-    return fold("".join(t for t in a.tokens if t not in common))
+    return fold("".join(t for t in a.tokens if t not in common and t not in TITLES))
 
 
 def same_organisation(a: Name, b: Name, common: frozenset[str] | set[str], slack: int = 0) -> bool:
@@ -261,13 +269,14 @@ def same_organisation(a: Name, b: Name, common: frozenset[str] | set[str], slack
     if a.indic != b.indic or a.web != b.web:
         return _same_core(a, b, common) or _same_core(b, a, common)
     pairs, left, right = align(a, b, slack)
+    left, right = ([t for t in side if t not in TITLES] for side in (left, right))
     if any(t not in common for t in left + right) or any(c == 0.4 and s not in common and t not in common for s, t, c in pairs):
         # the proper words may be split at different places
         x, y = _own(a, common), _own(b, common)
         if not (len(x) >= 8 and len(y) >= 8 and x[:1] == y[:1] and near(x, y, slack)):
             return False
         rest_a, rest_b = [t for t in a.tokens if t in common], [t for t in b.tokens if t in common]
-        _, left, right = align(Name((tuple(rest_a), frozenset(), False, False)), Name((tuple(rest_b), frozenset(), False, False)))
+        _, left, right = align(Name((tuple(rest_a), frozenset(), False, False, "", "")), Name((tuple(rest_b), frozenset(), False, False, "", "")))
         return not (left and right)
     if left and right:
         return False
@@ -283,7 +292,7 @@ def _same_core(a: Name, b: Name, common) -> bool:
     """Whether the proper words of b, run together, are the first word of a (a transcribed or web name, whose trade may be left out)."""
     if not (a.indic or a.web):
         return False
-    own = [t for t in b.tokens if t not in common]
+    own = [t for t in b.tokens if t not in common and t not in TITLES]
     first = [t for t in a.tokens if t not in common][:1] or list(a.tokens[:1])
     whole = fold("".join(own))
     return bool(own) and any(len(w) >= 5 and (near(w, whole) or (a.web and whole and near(w, fold("".join(b.tokens))))) for w in first)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.llm import address, encode, garbled, mixture, topn, variants, visual
+from samewise.llm import address, encode, garbled, linkage, mixture, topn, variants, visual
 
-MODULES = [topn, visual, address, variants, encode, mixture, garbled]
+MODULES = [topn, visual, linkage, address, variants, encode, mixture, garbled]
 
 
 def queries() -> dict:
