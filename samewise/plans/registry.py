@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.plans import heavy
+from samewise.plans import decoding, heavy
 
-MODULES = [heavy]
+MODULES = [heavy, decoding]
 FLAGSHIP = "p1_found"
 
 
