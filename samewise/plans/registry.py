@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from samewise.plans import decoding, heavy
+from samewise.plans import decoding, heavy, texts
 
-MODULES = [heavy, decoding]
+MODULES = [heavy, decoding, texts]
 FLAGSHIP = "p1_found"
 
 
