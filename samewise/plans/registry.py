@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from samewise.plans import decoding, heavy, texts
+from samewise.plans import decoding, heavy, learning, pairs, texts
 
-MODULES = [heavy, decoding, texts]
-FLAGSHIP = "p1_found"
+MODULES = [heavy, decoding, texts, pairs, learning]
+FLAGSHIP = "st_link"
 
 
 def queries() -> dict:
