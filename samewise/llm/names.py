@@ -38,7 +38,10 @@ _LEET = str.maketrans("0134578", "oleastb")
 
 def plain(s: str) -> str:
     """Lower case without accents, in Latin letters where they can be given."""
-    s = unicodedata.normalize("NFKD", romanize(form(s).casefold()))
+    s = romanize(form(s).casefold())
+    if s.isascii():
+        return s
+    s = unicodedata.normalize("NFKD", s)
     return "".join(c for c in s if not unicodedata.combining(c))
 
 
