@@ -20,6 +20,8 @@ def code(word: str) -> str:
     w = re.sub(r"(.)\1", r"\1", re.sub(r"[^a-z]", "", word.lower()))
     for p, s in _RULES:
         w = p.sub(s, w)
+    if not w:
+        return ""
     first, rest = w[:1], w[1:]
     rest = re.sub(r"[aeiouyh]|w(?![aeiou])", "", rest)
     out = ("A" if first in "aeiouy" else first) + rest

@@ -100,10 +100,12 @@ def join_initials(c: Column) -> Column:
 
 
 def base_clean(c: Column, unicode: bool = True) -> Column:
-    """The whole cleaning: Latin letters, no accents, & as and, no apostrophes, punctuation as spaces, OCR repairs, initials joined."""
-    x = F.lower(nfkd(c)) if unicode else latin(c)
+    """The whole cleaning: no accents, & as and, no apostrophes, punctuation as spaces, OCR repairs, initials joined. With
+    unicode, compatibility forms are decomposed, Indic and Cyrillic transcribed and letters of other scripts kept."""
+    x = latin(nfkd(c)) if unicode else latin(c)
     x = F.regexp_replace(F.replace(x, F.lit("&"), F.lit(" and ")), "['’]", "")
-    return join_initials(F.array_join(F.transform(tokens(squash(x)), fix_ocr), " "))
+    x = F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " ")) if unicode else squash(x)
+    return join_initials(F.array_join(F.transform(tokens(x), fix_ocr), " "))
 
 
 def merge_fragments(c: Column) -> Column:

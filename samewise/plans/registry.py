@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from samewise.plans import decoding, heavy, learning, pairs, texts
+from samewise.plans import decoding, flow, heavy, learning, pairs, texts
 
-MODULES = [heavy, decoding, texts, pairs, learning]
-FLAGSHIP = "st_link"
+MODULES = [flow, heavy, decoding, texts, pairs, learning]
+FLAGSHIP = "fl_link"
 
 
 def queries() -> dict:
