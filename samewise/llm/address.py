@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.llm.names import damerau, plain
-from samewise.session import cut, staged, table
+from samewise.session import staged, table
 
 GRAM, BUCKETS = 3, 1 << 18
 LEAST_COSINE = 0.3
@@ -155,6 +155,11 @@ def leftovers(x: tuple[str, ...], y: tuple[str, ...]) -> tuple[int, list[str], l
     return same, left, right
 
 
+def within(x: Address, y: Address) -> bool:
+    """Whether x says nothing that y doesn't: all its words, its number and its postcode are in y."""
+    return x.house == y.house and (x.post is None or x.post == y.post) and not leftovers(x.words, y.words)[1]
+
+
 def same_building(x: Address, y: Address) -> bool:
     """Whether two addresses with a high cosine can be one building: the same house number and suffix, no two postcodes, at least the
     street in common, and no words on both sides that the other lacks unless the postcode settles the place."""
@@ -195,7 +200,8 @@ def parts(addresses: DataFrame) -> DataFrame:
 
 
 def address_pairs(addresses: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(aa, ab, cosine): pairs of distinct addresses, aa < ab, that denote the same building. addresses: distinct, in column addr."""
+    """(aa, ab): pairs of distinct addresses, aa < ab, that denote the same building: those that pass the check, and two that are both
+    parts of one fuller address. addresses: distinct, in column addr."""
     known = staged(parts(addresses).withColumn("aid", F.monotonically_increasing_id()), "addresses")
     weight = known.sparkSession.sparkContext.broadcast(weights(known, known.count()))
 
@@ -215,11 +221,15 @@ def address_pairs(addresses: DataFrame, least: float = LEAST_COSINE) -> DataFram
             out = []
             for s, t in zip(pdf["xa"], pdf["xb"]):
                 x, y = parse(s), parse(t)
-                if same_building(x, y) and (c := cosine(grams(x), grams(y), weight.value)) >= least:
-                    out.append((min(s, t), max(s, t), c))
-            yield pd.DataFrame(out, columns=["aa", "ab", "cosine"])
+                if same_building(x, y) and cosine(grams(x), grams(y), weight.value) >= least:
+                    out.append((min(s, t), max(s, t), *((s, t) if within(x, y) else (t, s) if within(y, x) else (None, None))))
+            yield pd.DataFrame(out, columns=["aa", "ab", "part", "full"])
 
-    return met.join(left, "ia").join(right, "ib").select("xa", "xb").mapInPandas(check, "aa string, ab string, cosine double")
+    direct = met.join(left, "ia").join(right, "ib").select("xa", "xb").mapInPandas(check, "aa string, ab string, part string, full string")
+    direct = staged(direct, "direct")
+    parts_of = direct.where("full is not null")
+    both = parts_of.select("full", F.col("part").alias("aa")).join(parts_of.select("full", F.col("part").alias("ab")), "full").where("aa < ab").select("aa", "ab")
+    return direct.select("aa", "ab").unionByName(both).distinct()
 
 
 def building_pairs(df: DataFrame, ident: str, address: str, least: float = LEAST_COSINE) -> DataFrame:
@@ -230,7 +240,7 @@ def building_pairs(df: DataFrame, ident: str, address: str, least: float = LEAST
     """
     rows = staged(df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{address}`").alias("addr")).where("id is not null and addr is not null").distinct(), "placed")
     distinct = rows.select("addr").distinct()
-    pairs = cut(address_pairs(distinct, least).select("aa", "ab"))
+    pairs = address_pairs(distinct, least)
     left, right = rows.select(F.col("id").alias("ia"), F.col("addr").alias("aa")), rows.select(F.col("id").alias("ib"), F.col("addr").alias("ab"))
     unlike = pairs.join(left, "aa").join(right, "ab").select("ia", "ib")
     houses = distinct.join(rows.groupBy("addr").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "addr")

@@ -102,8 +102,9 @@ def distinct_forms(df: DataFrame, text: str) -> DataFrame:
 def canonical(df: DataFrame, text: str) -> DataFrame:
     """df with `{text}_form` and `{text}_fold`; null stays null. A value that many rows hold is normalised once, and no row moves
     for its sake: the table of the values is joined to the rows, and a value's rows can be split among tasks."""
-    forms = distinct_forms(df, text).select("value", F.col("form").alias(f"{text}_form"), F.col("fold").alias(f"{text}_fold"))
-    return df.join(forms, F.col(f"`{text}`") == F.col("value"), "left").drop("value")
+    own = f"_{text}_as_stored"
+    forms = distinct_forms(df, text).select(F.col("value").alias(own), F.col("form").alias(f"{text}_form"), F.col("fold").alias(f"{text}_fold"))
+    return df.join(forms, F.col(f"`{text}`") == F.col(f"`{own}`"), "left").drop(own)
 
 
 def same_look_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
