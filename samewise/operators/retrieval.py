@@ -34,6 +34,25 @@ def tfidf(queries: DataFrame, docs: DataFrame, max_df: float = 1.0, min_df: int
     return weigh(q), weigh(d)
 
 
+def two_spaces(queries: DataFrame, docs: DataFrame, first: str, second: str, weight: float = 0.6, max_df: float = 0.02, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The TF-IDF weights of two token columns side by side, so that an inner product is weight times the first's and 1 - weight times
+    the second's. Both are fitted on docs; max_df and min_df hold for the second."""
+    out = []
+    for tag, col, w, most, least in (("1", first, weight, 1.0, 1), ("2", second, 1 - weight, max_df, min_df)):
+        q, d = (x.select("id", "country", F.col(col).alias("tokens")) for x in (queries, docs))
+        tq, td = terms(q), terms(d)
+        n = d.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+        df = td.groupBy("country", "token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "country").where((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))  # one row a country
+        idf = df.select("country", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        sides = []
+        for t in (tq, td):
+            x = t.join(idf, ["country", "token"]).select("id", "country", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+            norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            sides.append(x.join(norm, "id").select("id", "country", F.concat(F.lit(tag), "token").alias("token"), (F.sqrt(F.lit(w)) * F.col("w") / F.col("norm")).alias("w")))
+        out.append(sides)
+    return out[0][0].unionByName(out[1][0]), out[0][1].unionByName(out[1][1])
+
+
 def top_k(scores: DataFrame, k: int, of: str = "q", tie: str = "c") -> DataFrame:
     """The k best rows of each group with their rank. Ties go to the smaller id; each task keeps k before the shuffle."""
     w = Window.partitionBy(of).orderBy(F.desc("score"), F.asc(tie))

@@ -63,3 +63,8 @@ def average_rank_quantile(df: DataFrame, score: str, key: str, name: str) -> Dat
     total = counts.groupBy(key).agg(F.sum("_c").alias("_all"))
     rank = low.join(total, key).select(key, score, ((F.col("_upto") - F.col("_c") + F.col("_upto") + 1) / 2 / F.col("_all")).alias(name))
     return df.join(rank, [key, score], "left")
+
+
+def twins(df: DataFrame, score: str, key: str, least: float, name: str) -> DataFrame:
+    """name: how many rows of the group have a score of least or more."""
+    return with_group(df, key, **{name: F.count_if(F.col(score) >= least)})

@@ -60,6 +60,15 @@ def wn_score_context(spark: SparkSession, d: str) -> DataFrame:
     return x.select("s1", "m", r("p1_sum_q"), r("p1_sum_c"), "p1_n50_q", "p1_n30_c")
 
 
+@query(f"""WITH {SCORED}, c AS (SELECT s1, m, coalesce(cos, 0) AS cos, (coalesce(cos, 0) + least(greatest(p, 0), 1)) / 2 AS mix FROM scored) SELECT s1, m, count(*) FILTER (WHERE cos >= 0.8) OVER (PARTITION BY m)::BIGINT AS twins_c, count(*) FILTER (WHERE cos >= 0.8) OVER (PARTITION BY s1)::BIGINT AS twins_q,
+    row_number() OVER (PARTITION BY m ORDER BY round(mix, 9) DESC, s1)::BIGINT AS mix_rank_c FROM c""")
+def wn_twins(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates of a record and of a row look just like it, and the rank of the mean of both scores."""
+    x = scored(spark, d).select("s1", "m", F.coalesce("cos", F.lit(0.0)).alias("cos"), "p").withColumn("mix", F.round((F.col("cos") + F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))) / 2, 9))
+    x = W.twins(W.twins(x, "cos", "m", 0.8, "twins_c"), "cos", "s1", 0.8, "twins_q")
+    return W.ordered(x, ["m"], [F.desc("mix"), F.asc("s1")], "mix_rank_c").select("s1", "m", "twins_c", "twins_q", "mix_rank_c")
+
+
 @query(f"""WITH {SCORED} SELECT s1, m, round((rank() OVER (PARTITION BY country ORDER BY p) + (count(*) OVER (PARTITION BY country, p) - 1) / 2.0) / count(*) OVER (PARTITION BY country), 6) AS quantile FROM scored""")
 def wn_average_rank(spark: SparkSession, d: str) -> DataFrame:
     return W.average_rank_quantile(scored(spark, d), "p", "country", "quantile").select("s1", "m", r("quantile"))

@@ -282,6 +282,32 @@ def bl_reverse_name(spark: SparkSession, d: str) -> DataFrame:
     return R.similarity_join(q, c, 5)
 
 
+def _space_sql(tag: str, tokens: str, w: float, most: float, least: int) -> str:
+    return f"""d{tag} AS (SELECT side, id, country, unnest({tokens}) AS t FROM cl), t{tag} AS (SELECT side, id, country, t, count(*) AS tf FROM d{tag} WHERE t <> '' GROUP BY ALL), n{tag} AS (SELECT country, count(*) AS n FROM cl WHERE side = 2 GROUP BY country),
+    f{tag} AS (SELECT country, t, count(*) AS df FROM t{tag} WHERE side = 2 GROUP BY country, t), w{tag} AS (SELECT side, id, x.country, '{tag}' || x.t AS t, (1 + ln(tf)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM t{tag} x JOIN f{tag} USING (country, t) JOIN n{tag} USING (country) WHERE df >= {least} AND df <= {most} * n),
+    u{tag} AS (SELECT side, id, country, t, sqrt({w}) * w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w{tag})"""
+
+
+@query(f"WITH {_BIZ}, {_space_sql('1', _TOK.format('n'), 0.6, 1.0, 1)}, {_space_sql('2', _TOK.format('a'), 0.4, 0.02, 2)}, " + """u AS (SELECT * FROM u1 UNION ALL SELECT * FROM u2), s AS (SELECT a.id AS q, b.id AS c, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.country = b.country AND a.t = b.t AND a.side = 1 AND b.side = 2 WHERE a.id IN (SELECT id FROM cl WHERE side = 1 AND a <> '') GROUP BY 1, 2)
+    SELECT q, c, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM s WHERE score >= 0.25) WHERE rank <= 5""")
+def bl_two_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest records by names and addresses in two weighted spaces."""
+    x = biz(spark, d).select("side", "id", "country", "a", N.tokens(F.col("n")).alias("nt"), N.tokens(F.col("a")).alias("at"))
+    q, c = R.two_spaces(x.where("side = 1 and a <> ''"), x.where("side = 2"), "nt", "at")
+    return R.similarity_join(q, c, 5, 0.25)
+
+
+@query()
+def bl_native(spark: SparkSession, d: str) -> DataFrame:
+    """Records in an Indic script, transcribed, with their best clean row in two weighted spaces, where no route has the pair."""
+    x = biz(spark, d)
+    x = x.withColumn("n", N.base_clean(F.col("raw")))
+    y = x.select("side", "id", "country", "raw", N.tokens(F.col("n")).alias("nt"), N.tokens(F.col("a")).alias("at"))
+    q, c = R.two_spaces(y.where("side = 2").where(N.has_indic(F.col("raw"))), y.where("side = 1"), "nt", "at")
+    best = R.similarity_join(q, c, 5, 0.25).where("rank = 1").select(F.col("c").alias("s1"), F.col("q").alias("m"), "score")
+    return best.join(table(spark, d, "candidate_pairs").select("s1", "m"), ["s1", "m"], "left_anti")
+
+
 @query(f"""WITH {_BIZ}, k AS (SELECT DISTINCT side, id, country, key FROM (SELECT side, id, country, unnest(list_concat(list_concat({_TOK.format('n')}, {_TOK.format('a')}), list_transform(range(1, len({_TOK.format('a')})), lambda i: ({_TOK.format('a')})[i] || '_' || ({_TOK.format('a')})[i + 1]))) AS key FROM cl) WHERE length(key) > 1),
     n AS (SELECT country, count(*) AS n FROM cl GROUP BY country), df AS (SELECT country, key, count(*) AS df FROM k GROUP BY country, key HAVING count(*) <= 50), r AS (SELECT * FROM (SELECT k.*, df, row_number() OVER (PARTITION BY side, id ORDER BY df, key) AS i FROM k JOIN df USING (country, key)) WHERE i <= 8),
     s AS (SELECT a.id AS q, b.id AS c, round(sum(ln(n::DOUBLE / a.df)), 6) AS score, count(*) AS key_n FROM r a JOIN r b ON a.country = b.country AND a.key = b.key AND a.side = 1 AND b.side = 2 JOIN n ON n.country = a.country GROUP BY 1, 2)
