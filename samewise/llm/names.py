@@ -57,6 +57,10 @@ def fold(t: str) -> str:
 
 
 _NICK = {(fold(full), fold(n)) for full, ns in NICKNAMES.items() for n in ns.split()}
+#: The full names of each nickname.
+FULL: dict[str, set[str]] = {}
+for _full, _nick in _NICK:
+    FULL.setdefault(_nick, set()).add(_full)
 
 
 #: Words before a name that one may leave out.
