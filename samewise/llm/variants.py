@@ -1,6 +1,6 @@
 """Variant spellings of organisations' names.
 
-Distinct names are indexed under their proper words, alone and run together, each with the strings that deleting up to two letters
+Distinct names are indexed under their proper words, alone however short, as full names and run together, each with the strings that deleting up to two letters
 leaves (symmetric deletes): two words within that many edits share one. Names that meet there are compared by the best assignment
 of their tokens, which may be mistyped, shortened, initials or nicknames.
 """
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.llm.names import damerau, edits_allowed, parse, same_organisation
+from samewise.llm.names import FULL, damerau, edits_allowed, parse, same_organisation
 from samewise.session import cut, staged, table, width
 
 #: Tokens in more than this share of the distinct names are common: at most (tokens of a name) / COMMON_SHARE of them, some thousands.
@@ -47,6 +47,17 @@ def keys(tokens: tuple[str, ...], common: set[str] | frozenset[str]) -> set[str]
     return out or ({" ".join(sorted(tokens))} if tokens else set())
 
 
+def every_key(tokens: tuple[str, ...], common: set[str] | frozenset[str]) -> set[str]:
+    """keys() and every proper word however short, nicknames also as the full name: names of short words may be reordered, shortened
+    to initials or without their trade. A proper word is in fewer than COMMON_SHARE of the names, so none of them is left out."""
+    out = keys(tokens, common) | {t for t in tokens if t not in common}
+    for t in tokens:
+        for full in FULL.get(t, ()):
+            rest = [full if x == t else x for x in tokens]
+            out |= {full} if full not in common else keys(tuple(rest), common)
+    return out
+
+
 def parsed(names: DataFrame) -> DataFrame:
     """(name) with its tokens."""
 
@@ -95,7 +106,7 @@ def name_pairs(names: DataFrame) -> DataFrame:
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(n, k) for n, t in zip(pdf["name"], pdf["tokens"]) for k in keys(tuple(t), common.value)]
+            rows = [(n, k) for n, t in zip(pdf["name"], pdf["tokens"]) for k in every_key(tuple(t), common.value)]
             yield pd.DataFrame(rows, columns=["name", "w"])
 
     keyed = staged(split.mapInPandas(index, "name string, w string"), "keyed")
