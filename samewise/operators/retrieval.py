@@ -95,6 +95,18 @@ def guarded_join(rows: DataFrame, key: Column, most_left: int, most_right: int)
     return a.join(b, ["country", "key"]).select("q", "c").distinct()
 
 
+def same_name_join(rows: DataFrame, share: float, most_left: int, most_right: int) -> DataFrame:
+    """(q, c): guarded_join of rows (side, id, country, name, house, words) on the name, from three letters on, with the house number
+    or with a word of three letters or more in less than share of the country's rows."""
+    rows = rows.where("length(name) >= 3")
+    n = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    w = rows.select("side", "id", "country", "name", F.explode(F.array_distinct("words")).alias("w")).where("length(w) >= 3")
+    rare = w.groupBy("country", "w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "country").where(F.col("df") < share * F.col("n")).select("country", "w")  # one row a country
+    by_word = w.join(rare, ["country", "w"]).select("side", "id", "country", F.concat("name", F.lit("|"), "w").alias("k"))
+    by_house = rows.where("house <> ''").select("side", "id", "country", F.concat("name", F.lit("|#"), "house").alias("k"))
+    return guarded_join(by_house.unionByName(by_word), F.col("k"), most_left, most_right)
+
+
 def sorted_neighbourhood(rows: DataFrame, key: str, window: int = 5) -> DataFrame:
     """(q, c): rows of different sides less than window places apart in the order of key within their country, by skew-safe numbers."""
     k = ordered(rows.select("side", "id", "country", key), ["country"], [F.asc(key), F.asc("side"), F.asc("id")], "pos")

@@ -337,6 +337,21 @@ def bl_same_name(spark: SparkSession, d: str) -> DataFrame:
     return R.guarded_join(biz(spark, d), F.concat(N.compact(F.col("n")), F.lit("|"), N.house_number(F.col("a"))), 20, 80)
 
 
+@query()
+def bl_same_name_or_word(spark: SparkSession, d: str) -> DataFrame:
+    """Same compact name and the house number or an address word in less than a tenth of the country's rows."""
+    x = biz(spark, d).select("side", "id", "country", N.compact(F.col("n")).alias("name"), N.house_number(F.col("a")).alias("house"), F.filter(N.tokens(F.col("a")), lambda t: ~t.rlike("[0-9]")).alias("words"))
+    return R.same_name_join(x, 0.1, 20, 80)
+
+
+@query()
+def bl_reverse_band(spark: SparkSession, d: str) -> DataFrame:
+    """Of each record without an address the clean rows on ranks 11 to 25 by name."""
+    x = biz(spark, d).where("side = 1 or a = ''").select("side", "id", "country", N.char_grams(N.tokens(F.col("n"))).alias("tokens"))
+    q, c = R.tfidf(x.where("side = 2"), x.where("side = 1"), max_df=0.02, min_df=2)
+    return R.similarity_join(q, c, 25).where("rank > 10")
+
+
 @query()
 def bl_phonetic(spark: SparkSession, d: str) -> DataFrame:
     return R.guarded_join(biz(spark, d), F.concat(udf_code("n"), F.lit("|"), N.house_number(F.col("a"))), 10, 40)
