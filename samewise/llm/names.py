@@ -128,18 +128,29 @@ def damerau(a: str, b: str, most: int) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, last = None, list(range(len(b) + 1))
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    far = most + 1
+    before, last = None, [min(far, j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
+        now = [far] * (len(b) + 1)
+        if i <= most:
+            now[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):  # outside this band there are more edits than most
+            y = b[j - 1]
             v = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
-            now.append(v)
+            now[j] = v
         if min(now) > most:
-            return most + 1
+            return far
         before, last = last, now
-    return min(last[-1], most + 1)
+    return min(last[-1], far)
 
 
 def edits_allowed(n: int) -> int:

@@ -30,6 +30,25 @@ def deletes(s: str, most: int) -> set[str]:
     return out
 
 
+#: Words longer than this are cut into pieces instead of losing letters, for deletions grow with the square of the length.
+LONG, _PIECES = 40, 5
+
+
+def neighbours(w: str, most: int) -> set[str]:
+    """Strings of which two words share one if at most `most` edits lie between them: what deletions leave, or of a long word all the
+    places where one of five pieces of a word so like it may stand (two edits, swaps included, touch four of them at most)."""
+    out = deletes(w, most) if len(w) <= LONG else {w}
+    if len(w) > LONG - 2:
+        for n in range(len(w) - most, len(w) + most + 1):  # the other word's length
+            at = [n * i // _PIECES for i in range(_PIECES + 1)]
+            for i in range(_PIECES):
+                for shift in range(-most, most + 1):
+                    start, size = at[i] + shift, at[i + 1] - at[i]
+                    if 0 <= start and start + size <= len(w):
+                        out.add(f"{n}/{i}/{w[start : start + size]}")
+    return out
+
+
 def keys(tokens: tuple[str, ...], common: set[str] | frozenset[str]) -> set[str]:
     """The words under which a name is found: its proper words of six letters or more, neighbouring proper words run together, and,
     of a name without any, all its tokens in order of the alphabet."""
@@ -83,7 +102,7 @@ def near_words(words: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in (pdf["w"].iloc[i : i + 500] for i in range(0, len(pdf), 500)):
-                rows = [(d, w) for w in part for d in (deletes(w, edits_allowed(len(w))) if len(w) <= 40 else deletes(w, 1))]
+                rows = [(d, w) for w in part for d in neighbours(w, edits_allowed(len(w)))]
                 yield pd.DataFrame(rows, columns=["d", "w"])
 
     index = words.repartition(4 * width(words.sparkSession)).mapInPandas(spread, "d string, w string").select(F.xxhash64("d").alias("d"), "w")
