@@ -8,7 +8,6 @@ of their tokens, which may be mistyped, shortened, initials or nicknames.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +22,14 @@ _KEY = 6
 
 
 def deletes(s: str, most: int) -> set[str]:
-    """s and what is left of it after up to most deletions."""
-    out = {s}
-    for k in range(1, most + 1):
-        out.update("".join(s[i] for i in range(len(s)) if i not in gone) for gone in map(set, combinations(range(len(s)), k)))
+    """s and what is left of it after up to most deletions, two at most."""
+    out, n = {s}, len(s)
+    if most > 0:
+        out.update([s[:i] + s[i + 1 :] for i in range(n)])
+    if most > 1:
+        for i in range(n - 1):
+            head = s[:i]
+            out.update([head + s[i + 1 : j] + s[j + 1 :] for j in range(i + 1, n)])
     return out
 
 
