@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +99,20 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + 0.1 * n * (1 - j)
 
 
+def scored_once(df: DataFrame, a: str, b: str, scorers: dict[str, Callable[[str, str], float]]) -> DataFrame:
+    """df with a column for each scorer: each distinct pair of values is scored once, wherever its rows lie, and joined back. Null on
+    either side gives null."""
+    names = list(scorers)
+    distinct = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null").distinct()
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{n: [float(scorers[n](x, y)) for x, y in zip(pdf["_a"], pdf["_b"])] for n in names})
+
+    got = distinct.mapInPandas(score, ", ".join(["_a string", "_b string", *[f"{n} double" for n in names]]))
+    return df.join(got, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left").drop("_a", "_b")
+
+
 def pairwise(f: Callable[[str, str], float]):
     """f as a column function of two string columns; null on either side gives null."""
 

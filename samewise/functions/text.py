@@ -5,13 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samewise.functions.translit import romanize
 
-# Letters with accents and their base letters, in order.
+# Letters with accents and their base letters, in order; canonical legal forms; the replacements of the name fold.
 ACCENTED, BASE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 LEGAL_CANON = {"private": "pvt", "limited": "ltd", "incorporated": "inc", "corporation": "corp", "company": "co"}
 LEGAL_FORMS = ("pvt", "private", "ltd", "limited", "llc", "inc", "incorporated", "corp", "corporation", "co", "company", "llp", "lp", "plc", "sarl", "sas", "sasu", "eurl", "sci", "sa", "snc", "gmbh", "kg", "ek", "eood")
@@ -81,6 +81,59 @@ def web_host(c: Column) -> Column:
     return F.replace(F.regexp_extract(F.lower(F.trim(c)), _WEB, 1), F.lit("-"), F.lit(" "))
 
 
+#: Legal forms written with dots.
+DOTTED = ((r"\bs\.? ?a\.? ?r\.? ?l\b\.?", "sarl"), (r"\bs\.? ?a\.? ?s\.? ?u\b\.?", "sasu"), (r"\bs\.? ?a\.? ?s\b\.?", "sas"), (r"\be\.? ?u\.? ?r\.? ?l\b\.?", "eurl"), (r"\bs\. ?c\. ?i\b\.?", "sci"), (r"\bs\. ?n\. ?c\b\.?", "snc"), (r"\bl\. ?l\. ?c\b\.?", "llc"), (r"\be\. ?k\b\.?", "ek"))
+
+
+def undotted(c: Column) -> Column:
+    """Lower case with dotted legal forms as one word."""
+    c = F.lower(c)
+    for p, q in DOTTED:
+        c = F.regexp_replace(c, p, q)
+    return c
+
+
+def norm(c: Column) -> Column:
+    """Decomposed, without marks, lower case, everything but letters and digits of any script as one space."""
+    return F.trim(F.regexp_replace(F.lower(_decomposed(c)), "[^\\p{L}\\p{N}]+", " "))
+
+
+@F.pandas_udf(T.StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M")), na_action="ignore")
+
+
+def record_text(n: Column, a: Column, prefix: str = "") -> Column:
+    return F.concat(F.lit(prefix), n, F.lit(" | "), a)
+
+
+def block_document(name: Column, alias: Column, address: Column, compact_name: Column) -> Column:
+    """The words of a record's document for retrieval: those of name, alias and address, the address's bigrams, and the compact name."""
+    own = F.when(compact_name != "", F.array(F.concat(F.lit("cmp_"), compact_name))).otherwise(F.array().cast("array<string>"))
+    return F.concat(name, alias, address, bigrams(address), own)
+
+
+def relation(a: Column, b: Column) -> Column:
+    """How two cleaned names are related, the first that fits."""
+    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    both = F.size(F.array_intersect(x, y))
+    return (
+        F.when(b == "", "no name").when(a == b, "same").when(compact(a) == compact(b), "same letters").when((F.size(x) == F.size(y)) & (both == F.size(x)), "same words").when(both == F.size(x), "words added")
+        .when(both == F.size(y), "words left out").when(F.levenshtein(a, b) <= 2, "mistyped").when(both > 0, "shares words").otherwise("other")
+    )
+
+
+def with_dictionary(df: DataFrame, column: str, dictionary: DataFrame, new: str) -> DataFrame:
+    """df with new: the text of column, its words in Indic scripts that dictionary (native, latin) has replaced, before any rule transcribes
+    the rest. Null stays null. The dictionary is joined to the distinct words, so it may be of any size."""
+    split = lambda c: F.split(F.lower(c), "(?<=[\\s,.&/()-])|(?=[\\s,.&/()-])")
+    texts = df.select(F.col(f"`{column}`").alias("_text")).where(has_indic(F.col("_text"))).distinct()
+    parts = texts.select("_text", F.posexplode(split(F.col("_text"))).alias("_i", "native"))
+    got = parts.join(dictionary.select("native", "latin"), "native", "left").groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("latin", "native").alias("w")))).alias("_w"))  # words of one text
+    got = got.select("_text", F.array_join(F.transform("_w", lambda x: x["w"]), "").alias(new))
+    return df.join(got, F.col(f"`{column}`") == F.col("_text"), "left").withColumn(new, F.coalesce(F.col(new), F.col(f"`{column}`"))).drop("_text")
+
+
 def fix_ocr(t: Column) -> Column:
     """A token's digits as the letters they stand for, if it is a word: two letters or more, two digits at most, more letters than
     digits. Digits, words and ordinals stay; a number glued to a word is split off."""

@@ -133,6 +133,66 @@ def grid(pairs: DataFrame, truth: DataFrame, ids: DataFrame, thresholds: list[fl
     return out
 
 
+def blend_search(pairs: DataFrame, other: str, truth: DataFrame, ids: DataFrame, weights: list[float], thresholds: list[float], beta: float = 0.5) -> DataFrame:
+    """weight, threshold, f: the macro F of exclusive decoding after a blend of p with the column other, for each weight and threshold."""
+    spark = pairs.sparkSession
+    w = spark.createDataFrame([(float(x),) for x in weights], "weight double")  # lists of parameters, these two
+    x = pairs.select("s1", "m", "p", other).crossJoin(F.broadcast(w)).withColumn("p", F.round(blend(F.col("p"), F.col(other), F.col("weight")), 6))
+    x = x.join(x.groupBy("weight", "m").agg(F.max("p").alias("_p")), ["weight", "m"]).where("p = _p").select("weight", "s1", "m", "p")
+    out = None
+    for t in thresholds:
+        got = x.where(F.col("p") >= t).join(truth.select("s1", "m").distinct().withColumn("y", F.lit(1)), ["s1", "m"], "left")
+        got = got.groupBy("weight", "s1").agg(F.count(F.lit(1)).alias("n_pred"), F.sum(F.coalesce("y", F.lit(0))).alias("tp"))
+        one = _mean_f(ids.select("s1").distinct().crossJoin(F.broadcast(w)), got, truth, ["weight"], beta).withColumn("threshold", F.lit(float(t)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _f(beta: float) -> Column:
+    b2 = beta * beta
+    return F.when((F.col("n_true") == 0) & (F.col("n_pred") == 0), 1.0).when(F.col("tp") == 0, 0.0).otherwise((1 + b2) * F.col("tp") / (b2 * F.col("n_true") + F.col("n_pred")))
+
+
+def _mean_f(cells: DataFrame, got: DataFrame, truth: DataFrame, by: list[str], beta: float = 0.5) -> DataFrame:
+    """by, f and f_single (of rows without matches), over cells (s1, by)."""
+    n_true = truth.select("s1", "m").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+    full = cells.join(n_true, "s1", "left").join(got, ["s1", *[c for c in by if c in got.columns]], "left").na.fill(0, ["n_true", "n_pred", "tp"])
+    return full.groupBy(*by).agg(F.avg(_f(beta)).alias("f"), F.avg(F.when(F.col("n_true") == 0, _f(beta))).alias("f_single"))
+
+
+def tuned_gate(pairs: DataFrame, strict: float, thresholds: list[float], truth: DataFrame, ids: DataFrame, gain: float, beta: float = 0.5) -> DataFrame:
+    """tuned_on, threshold, gain, passed: for each of two folds of s1 the threshold that serves it best for adds to the strict result,
+    what it gains on the other fold, and whether that is gain or more without harm to rows that have no match."""
+    spark = pairs.sparkSession
+    none = 2.0  # above every p: the strict result itself
+    t = spark.createDataFrame([(float(x),) for x in [*thresholds, none]], "threshold double")  # a list of parameters
+    y = truth.select("s1", "m").distinct().withColumn("y", F.lit(1))
+    got = exclusive(pairs.select("s1", "m", "p")).join(y, ["s1", "m"], "left").crossJoin(F.broadcast(t)).where((F.col("p") >= strict) | (F.col("p") >= F.col("threshold")))
+    got = got.groupBy("s1", "threshold").agg(F.count(F.lit(1)).alias("n_pred"), F.sum(F.coalesce("y", F.lit(0))).alias("tp"))
+    cells = ids.select("s1").distinct().withColumn("fold", bucket(F.col("s1"), "fold", 2)).crossJoin(F.broadcast(t))
+    f = _mean_f(cells, got, truth, ["fold", "threshold"], beta).withColumn("f", F.round("f", 9)).withColumn("f_single", F.round("f_single", 9))
+    base = f.where(F.col("threshold") == none).select(F.col("fold").alias("on"), F.col("f").alias("bf"), F.col("f_single").alias("bs"))
+    best = f.where(F.col("threshold") < none).groupBy("fold").agg(F.max_by("threshold", F.struct("f", "threshold")).alias("threshold"))
+    check = f.select(F.col("fold").alias("on"), "threshold", F.col("f").alias("cf"), F.col("f_single").alias("cs"))
+    x = best.withColumn("on", 1 - F.col("fold")).join(check, ["on", "threshold"]).join(base, "on")
+    better = F.col("cf") - F.col("bf")
+    return x.select(F.col("fold").alias("tuned_on"), "threshold", F.round(better, 6).alias("gain"), ((better >= gain) & (F.coalesce("cs", F.lit(0.0)) >= F.coalesce("bs", F.lit(0.0)))).alias("passed"))
+
+
+def breaches(pairs: DataFrame, pred: DataFrame, strict: DataFrame, candidates: DataFrame, ids: DataFrame) -> DataFrame:
+    """what, n: how often a result breaks what must hold of it."""
+    from samewise.sources.files import id_lists
+
+    twice = lambda df: df.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    lists = id_lists(ids, pred)
+    items = lists.where("matched_entity_ids <> ''").select("source1_entity_id", F.explode(F.split("matched_entity_ids", ",")).alias("m"))
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    rows = ids.agg(F.countDistinct("s1").alias("a")).crossJoin(lists.agg(F.count(F.lit(1)).alias("b"))).select(F.lit("rows without a list or with two").alias("what"), (F.col("a") - F.col("b")).alias("n"))  # one row each
+    out = count(twice(strict), "two rows of a record, strict").unionByName(count(twice(pred), "two rows of a record"))
+    out = out.unionByName(count(pred.join(candidates.select("s1", "m"), ["s1", "m"], "left_anti"), "no candidate")).unionByName(rows)
+    return out.unionByName(count(items.groupBy("source1_entity_id", "m").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "ids twice in a list"))
+
+
 def first_match(pairs: DataFrame, pred: DataFrame, floors: dict[str, float], partition: str = "country") -> DataFrame:
     """(s1, m): for each s1 without a match, its best record that no one has claimed and whose best s1 it is, where p reaches the floor
     of its partition. One record for an s1, one s1 for a record; labels without a floor give none."""

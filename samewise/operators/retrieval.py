@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.operators.windows import ordered
+from samewise.session import staged
 
 
 def terms(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -59,25 +60,62 @@ def top_k(scores: DataFrame, k: int, of: str = "q", tie: str = "c") -> DataFrame
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_join(q: DataFrame, d: DataFrame, k: int, least: float = 0.01) -> DataFrame:
-    """(q, c, score, rank): the k candidates of each query with the highest inner product of weights (rounded to 6 digits, so that
-    the order of summation doesn't decide)."""
-    joined = q.select(F.col("id").alias("q"), "country", "token", F.col("w").alias("wq")).join(d.select(F.col("id").alias("c"), "country", "token", F.col("w").alias("wc")), ["country", "token"])
-    s = joined.groupBy("q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score")).where(F.col("score") >= least)
-    return top_k(s, k)
+#: Up to so many meetings of a query's and a candidate's token, one join of all of them is the cheaper plan.
+PLAIN_MEETINGS = 1 << 25
 
 
-def rare_keys(keys: DataFrame, cap: int, most: int) -> DataFrame:
-    """Of each id the most rarest of its keys that at most cap ids of the country have, with df. keys: (side, id, country, key)."""
+def similarity_join(q: DataFrame, d: DataFrame, k: int, least: float = 0.01, plain: int = PLAIN_MEETINGS) -> DataFrame:
+    """(q, c, score, rank): the k candidates of each query with the highest inner product of weights (rounded to 6 digits, so that
+    the order of summation doesn't decide), least or more. Both plans give the same rows: that of few meetings joins all tokens."""
+    q = q.select(F.col("id").alias("q"), "country", "token", F.col("w").alias("wq"))
+    d = d.select(F.col("id").alias("c"), "country", "token", F.col("w").alias("wc"))
+    of_d = d.groupBy("country", "token").agg(F.count(F.lit(1)).alias("nd"), F.max("wc").alias("top"))
+    meetings = q.groupBy("country", "token").agg(F.count(F.lit(1)).alias("nq")).join(of_d, ["country", "token"]).agg(F.sum(F.col("nq") * F.col("nd"))).first()[0] or 0
+    if meetings <= plain:
+        joined = q.join(d, ["country", "token"])
+        s = joined.groupBy("q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score")).where(F.col("score") >= least)
+        return top_k(s, k)
+    return _pruned_join(staged(q, "queries"), staged(d, "postings"), of_d, k, least)
+
+
+def _pruned_join(q: DataFrame, d: DataFrame, of_d: DataFrame, k: int, least: float) -> DataFrame:
+    """The same by bounds: a token adds at most its weight times the heaviest one that a candidate has of it. Tokens are taken from the
+    strongest down, which are the rare ones. The strongest half of a query's reach gives candidates and with them a score that k of
+    them attain; a weaker token is opened only while it and all still weaker ones together can attain that score (or least). Long
+    lists of common words are then rarely walked, and no candidate of the k best is lost."""
+    reach = q.join(of_d.select("country", "token", "top"), ["country", "token"]).withColumn("most", F.col("wq") * F.col("top"))
+    rising = Window.partitionBy("q", "country").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)  # tokens of one record
+    reach = reach.withColumn("upto", F.sum("most").over(rising)).withColumn("all", F.sum("most").over(Window.partitionBy("q", "country")))
+    reach = staged(reach.select("q", "country", "token", "upto", (F.col("upto") > F.col("all") / 2).alias("strong")), "reach")
+
+    def scores(opened: DataFrame) -> DataFrame:
+        met = opened.join(d.select("c", "country", "token"), ["country", "token"]).select("q", "country", "c").distinct()
+        return met.join(q, ["q", "country"]).join(d, ["c", "country", "token"]).groupBy("q", "c").agg(F.round(F.sum(F.col("wq") * F.col("wc")), 6).alias("score"))
+
+    first = staged(top_k(scores(reach.where("strong")), k), "first")
+    attained = first.where(F.col("rank") == k).select("q", F.col("score").alias("attained"))
+    bound = F.greatest(F.lit(least), F.coalesce("attained", F.lit(0.0))) - 2e-6
+    more = reach.where("not strong").join(attained, "q", "left").where(F.col("upto") >= bound).select("q", "country", "token")
+    every = first.select("q", "c", "score").unionByName(scores(more)).distinct().where(F.col("score") >= least)
+    return top_k(every, k)
+
+
+def rare_keys(keys: DataFrame, cap: int, most: int, n: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """Of each id the most rarest of its keys that at most cap ids of the country, or a share of its n rows if that is more, have, with
+    df. keys: (side, id, country, key); n: (country, n)."""
     keys = keys.distinct()
-    df = keys.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= cap)
+    df = keys.groupBy("country", "key").agg(F.count(F.lit(1)).alias("df"))
+    if n is None:
+        df = df.where(F.col("df") <= cap)
+    else:
+        df = df.join(F.broadcast(n), "country").where(F.col("df") <= F.greatest(F.lit(float(cap)), F.col("n") * share)).drop("n")  # one row a country
     w = Window.partitionBy("side", "id").orderBy("df", "key")
     return keys.join(df, ["country", "key"]).withColumn("i", F.row_number().over(w)).where(F.col("i") <= most).drop("i")
 
 
-def rare_key_join(keys: DataFrame, n: DataFrame, cap: int, most: int, k: int) -> DataFrame:
+def rare_key_join(keys: DataFrame, n: DataFrame, cap: int, most: int, k: int, share: float = 0.0) -> DataFrame:
     """(q, c, score, key_n, rank): sides 1 and 2 joined on their rare keys, scored by the summed ln(n / df). n: (country, n)."""
-    rare = rare_keys(keys, cap, most)
+    rare = rare_keys(keys, cap, most, n, share)
     a, b = (rare.where(F.col("side") == i).select(F.col("id").alias(x), "country", "key", "df") for i, x in ((1, "q"), (2, "c")))
     j = a.join(b.drop("df"), ["country", "key"]).join(F.broadcast(n), "country")
     s = j.groupBy("q", "c").agg(F.round(F.sum(F.log(F.col("n") / F.col("df"))), 6).alias("score"), F.count(F.lit(1)).alias("key_n"))
@@ -146,6 +184,62 @@ def hashed_vector(grams: Column, size: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+def house_keys(rows: DataFrame, share: float = 0.002, rarest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Keys of rows (side, id, country, house, words): the house number with all words that less than share of the country's rows have,
+    in order, and the house number with each of its rarest words. Both (side, id, country, key)."""
+    w = rows.where("house is not null").select("side", "id", "country", "house", F.explode(F.array_distinct("words")).alias("w")).where("length(w) >= 3")
+    n = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    df = rows.select("country", F.explode(F.array_distinct("words")).alias("w")).groupBy("country", "w").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "country")  # one row a country
+    w = w.join(df, ["country", "w"])
+    rare = w.where(F.col("df") < F.greatest(F.lit(2.0), F.col("n") * share)).groupBy("side", "id", "country", "house").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("s"))  # words of one address
+    place = F.row_number().over(Window.partitionBy("side", "id", "country").orderBy("df", "w"))
+    least = w.withColumn("i", place).where(F.col("i") <= rarest)
+    return rare.select("side", "id", "country", F.concat("house", F.lit("|"), "s").alias("key")), least.select("side", "id", "country", F.concat("house", F.lit("|"), "w").alias("key"))
+
+
+def idf_cosine(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs (q, c) with cosine: of the distinct tokens of both sides, weighed ln((1 + N) / (1 + df)) + 1 over both sides' rows. a, b:
+    (id, tokens); 0 without a common token."""
+    ta, tb = (x.select("id", F.explode(F.array_distinct("tokens")).alias("token")).where("token <> ''") for x in (a, b))
+    total = a.select("id").unionByName(b.select("id")).agg(F.count(F.lit(1)).alias("n"))
+    df = ta.select("token").unionByName(tb.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
+    idf = df.select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("w"))
+    wa, wb = (t.join(idf, "token") for t in (ta, tb))
+    norm = lambda t, n: t.groupBy(F.col("id").alias(n)).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{n}"))
+    hit = pairs.select("q", "c").distinct().join(wa.withColumnRenamed("id", "q"), "q").join(tb.withColumnRenamed("id", "c"), ["c", "token"]).groupBy("q", "c").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    x = pairs.join(hit, ["q", "c"], "left").join(norm(wa, "q"), "q", "left").join(norm(wb, "c"), "c", "left")
+    return x.withColumn("cosine", F.coalesce(F.col("dot") / (F.col("norm_q") * F.col("norm_c")), F.lit(0.0))).drop("dot", "norm_q", "norm_c")
+
+
+def new_pairs(routes: list[tuple[str, DataFrame]], known: DataFrame, a: DataFrame, b: DataFrame, k: int = 2) -> DataFrame:
+    """(q, c, route, cosine): of each route's pairs (q, c) that known doesn't have, the k of each q with the highest IDF cosine."""
+    every = None
+    for name, df in routes:
+        x = df.select("q", "c").distinct().withColumn("route", F.lit(name))
+        every = x if every is None else every.unionByName(x)
+    x = idf_cosine(every.join(known.select("q", "c").distinct(), ["q", "c"], "left_anti"), a, b).withColumn("cosine", F.round("cosine", 6))
+    w = Window.partitionBy("q", "route").orderBy(F.desc("cosine"), "c")
+    return x.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).select("q", "c", "route", "cosine")
+
+
+def recall_report(routes: list[tuple[str, DataFrame]], truth: DataFrame, ks: list[int]) -> DataFrame:
+    """route, k, recall, union_recall: of truth (s1, m), the share that each route (s1, m, rank) has within its k best, and the share
+    that it and the routes before it have together."""
+    spark = truth.sparkSession
+    x = truth.select("s1", "m").distinct()
+    for i, (_, df) in enumerate(routes):
+        x = x.join(df.groupBy("s1", "m").agg(F.min("rank").alias(f"r{i}")), ["s1", "m"], "left")
+    x = x.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in ks], "k long")))  # a list of parameters
+    hit = [F.coalesce(F.col(f"r{i}") <= F.col("k"), F.lit(False)) for i in range(len(routes))]
+    upto = [hit[0]]
+    for h in hit[1:]:
+        upto.append(upto[-1] | h)
+    cells = F.array(*[F.struct(F.lit(name).alias("route"), h.alias("own"), u.alias("all")) for (name, _), h, u in zip(routes, hit, upto)])
+    x = x.select("k", F.explode(cells).alias("x"))
+    n = F.count(F.lit(1))
+    return x.groupBy("x.route", "k").agg((F.count_if("x.own") / n).alias("recall"), (F.count_if("x.all") / n).alias("union_recall"))
+
+
 def idf_overlap(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pairs (q, c) with widf (idf-weighted Jaccard, -1 without any token), widf_max (the rarest shared token's idf) and shared (how
     many). idf = ln(N / df) over both sides' rows; a, b: (id, tokens)."""

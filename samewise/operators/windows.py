@@ -44,14 +44,18 @@ def gap_and_rank(df: DataFrame, score: str, key: str, tie: str, suffix: str) ->
     return ordered(out, [key], [F.desc(score), F.asc(tie)], f"{score}_rank_{suffix}")
 
 
+def best_two(df: DataFrame, score: str, key: str) -> DataFrame:
+    """(key, _m1, _m2): the two highest values of each group, equal ones counted apart; _m2 is null in a group of one. Both are maxima,
+    which each task combines before the shuffle: no group is ever gathered."""
+    top = df.groupBy(key).agg(F.max(score).alias("_m1"))
+    rest = df.join(top, key).groupBy(key).agg(F.first("_m1").alias("_m1"), F.count_if(F.col(score) == F.col("_m1")).alias("_n"), F.max(F.when(F.col(score) < F.col("_m1"), F.col(score))).alias("_r"))
+    return rest.select(key, "_m1", F.when(F.col("_n") > 1, F.col("_m1")).otherwise(F.col("_r")).alias("_m2"))
+
+
 def second_best(df: DataFrame, score: str, key: str, name: str) -> DataFrame:
     """name: the margin of score over the best other value of its group: positive for the single best row, 0 where several share the
     best, negative below it. A group of one row is held against 0."""
-    two = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2)
-    # the two highest of each part suffice: groups are cut down before the shuffle
-    parts = df.withColumn("_part", F.pmod(F.hash(*df.columns), F.lit(64))).groupBy(key, "_part").agg(two.alias("_t"))
-    best = parts.groupBy(key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_t")), asc=False), 1, 2).alias("_t"))
-    best = best.select(key, F.col("_t")[0].alias("_m1"), F.coalesce(F.try_element_at("_t", F.lit(2)), F.lit(0.0)).alias("_m2"))
+    best = best_two(df, score, key).na.fill(0.0, ["_m2"])
     margin = F.when(F.col(score) >= F.col("_m1"), F.col(score) - F.col("_m2")).otherwise(F.col(score) - F.col("_m1"))
     return df.join(best, key, "left").withColumn(name, margin).drop("_m1", "_m2")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from samewise.operators import decode as D
 from samewise.operators import windows as W
-from samewise.plans.base import EXCL, S1, S23, SCORED, s1, s23, scored, sql_bucket, truth
+from samewise.plans.base import EXCL, LABELLED, S1, S23, SCORED, labelled, s1, s23, scored, sql_bucket, train, truth
 from samewise.session import table
 
 QUERIES: dict = {}
@@ -124,7 +124,7 @@ def dc_by_partition(spark: SparkSession, d: str) -> DataFrame:
 _BAND = "CASE " + " ".join(f"WHEN p >= {lo} AND p < {hi} THEN {lo}::DOUBLE" for lo, hi in zip(D.BAND_EDGES[:-1], D.BAND_EDGES[1:])) + " END"
 
 
-@query(f"""WITH {SCORED}, va AS (SELECT *, {_BAND} AS band FROM scored WHERE {sql_bucket('s1', 'val', 2)} = 0 AND country <> 'France'), te AS (SELECT *, {_BAND} AS band FROM scored WHERE {sql_bucket('s1', 'val', 2)} = 1),
+@query(f"""WITH {LABELLED}, va AS (SELECT *, {_BAND} AS band FROM scored WHERE {sql_bucket('s1', 'val', 2)} = 0 AND country <> 'France'), te AS (SELECT *, {_BAND} AS band FROM scored WHERE {sql_bucket('s1', 'val', 2)} = 1),
     nv AS (SELECT country, count(DISTINCT s1) AS n FROM va GROUP BY country), nt AS (SELECT country, count(DISTINCT s1) AS n FROM te GROUP BY country),
     vt AS (SELECT v.country, band, sum(y)::DOUBLE / any_value(n) AS tp FROM va v JOIN nv USING (country) WHERE p >= 0.5 GROUP BY v.country, band), av AS (SELECT band, avg(tp) AS tpa FROM vt GROUP BY band),
     tt AS (SELECT t.country, band, count(*)::DOUBLE / any_value(n) AS per FROM te t JOIN nt USING (country) WHERE p >= 0.5 GROUP BY t.country, band),
@@ -132,34 +132,34 @@ _BAND = "CASE " + " ".join(f"WHEN p >= {lo} AND p < {hi} THEN {lo}::DOUBLE" for
     ok AS (SELECT *, min(CASE WHEN prec >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY country ORDER BY band DESC ROWS UNBOUNDED PRECEDING) AS ok FROM est)
     SELECT country, coalesce(min(CASE WHEN ok = 1 THEN band END), 0.99)::DOUBLE AS threshold FROM ok GROUP BY country""")
 def dc_prior_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    x = scored(spark, d).withColumn("half", D.bucket(F.col("s1"), "val", 2))
+    x = labelled(spark, d).withColumn("half", D.bucket(F.col("s1"), "val", 2))
     return D.prior_thresholds(x.where("half = 0 and country <> 'France'"), x.where("half = 1"), 0.3)
 
 
 _F = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * n_true + n_pred) END"
 
 
-@query(f"""WITH {SCORED}, {EXCL}, pred AS (SELECT DISTINCT s1, m FROM excl WHERE p >= 0.6), tr AS (SELECT s1, m FROM scored WHERE y = 1),
+@query(f"""WITH {LABELLED}, {EXCL}, pred AS (SELECT DISTINCT s1, m FROM excl WHERE p >= 0.6), tr AS (SELECT s1, m FROM truth),
     j AS (SELECT coalesce(a.s1, b.s1) AS s1, CASE WHEN a.m IS NOT NULL THEN 1 ELSE 0 END AS ip, CASE WHEN b.m IS NOT NULL THEN 1 ELSE 0 END AS it FROM pred a FULL JOIN tr b ON a.s1 = b.s1 AND a.m = b.m),
     g AS (SELECT s1, sum(ip) AS n_pred, sum(it) AS n_true, sum(ip * it) AS tp FROM j GROUP BY s1),
     f AS (SELECT t.country, {_F} AS f, n_true FROM (SELECT t.entity_id, t.country, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp FROM s1t t LEFT JOIN g ON g.s1 = t.entity_id) t)
     SELECT country, round(avg(f), 6) AS f, round(avg(CASE WHEN n_true = 0 THEN f END), 6) AS f_single, round(avg(CASE WHEN n_true > 0 THEN f END), 6) AS f_matched, count(*)::BIGINT AS n FROM f GROUP BY country""")
 def dc_macro_f(spark: SparkSession, d: str) -> DataFrame:
-    ids = s1(spark, d).select(F.col("entity_id").alias("s1"), "country")
-    f = D.macro_fbeta(D.decode(scored(spark, d), 0.6), truth(spark, d), ids).join(ids, "s1")
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"), "country")
+    f = D.macro_fbeta(D.decode(labelled(spark, d), 0.6), truth(spark, d), ids).join(ids, "s1")
     return f.groupBy("country").agg(F.round(F.avg("f"), 6).alias("f"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("f_single"), F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("f_matched"), F.count(F.lit(1)).alias("n"))
 
 
 _GRID = ", ".join(f"({t})" for t in (0.3, 0.5, 0.7, 0.9))
 
 
-@query(f"""WITH {SCORED}, {EXCL}, g AS (SELECT t::DOUBLE AS threshold FROM (VALUES {_GRID}) v(t)), x AS (SELECT s1, m, p, y, TRUE AS excl FROM excl UNION ALL SELECT s1, m, p, y, FALSE AS excl FROM scored),
-    got AS (SELECT excl, threshold, s1, count(*) AS n_pred, sum(y) AS tp FROM x JOIN g ON p >= threshold GROUP BY ALL), nt AS (SELECT s1, sum(y) AS n_true FROM scored GROUP BY s1),
+@query(f"""WITH {LABELLED}, {EXCL}, g AS (SELECT t::DOUBLE AS threshold FROM (VALUES {_GRID}) v(t)), x AS (SELECT s1, m, p, y, TRUE AS excl FROM excl UNION ALL SELECT s1, m, p, y, FALSE AS excl FROM scored),
+    got AS (SELECT excl, threshold, s1, count(*) AS n_pred, sum(y) AS tp FROM x JOIN g ON p >= threshold GROUP BY ALL), nt AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY s1),
     a AS (SELECT e.excl, g.threshold, t.entity_id AS s1, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1t t CROSS JOIN g CROSS JOIN (VALUES (TRUE), (FALSE)) e(excl)
     LEFT JOIN nt ON nt.s1 = t.entity_id LEFT JOIN got ON got.s1 = t.entity_id AND got.threshold = g.threshold AND got.excl = e.excl) SELECT excl, threshold, round(avg({_F}), 6) AS f FROM a GROUP BY excl, threshold""")
 def dc_grid(spark: SparkSession, d: str) -> DataFrame:
-    ids = s1(spark, d).select(F.col("entity_id").alias("s1"))
-    return D.grid(scored(spark, d), truth(spark, d), ids, [0.3, 0.5, 0.7, 0.9]).select("excl", "threshold", r("f"))
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"))
+    return D.grid(labelled(spark, d), truth(spark, d), ids, [0.3, 0.5, 0.7, 0.9]).select("excl", "threshold", r("f"))
 
 
 _LG = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
@@ -209,28 +209,97 @@ def dc_folds(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).withColumn("fold", D.bucket(F.col("s1"), "fold", 2)).groupBy("fold").agg(F.countDistinct("s1").alias("n"), F.round(F.avg("p"), 6).alias("p"))
 
 
-@query(f"""WITH {SCORED}, {EXCL}, cand AS (SELECT s1, m, p, y, {sql_bucket('s1', 'fold', 2)} AS fold FROM excl WHERE p < 0.9), t AS (SELECT v::DOUBLE AS threshold FROM (VALUES (0.4), (0.6), (0.8)) x(v))
+@query(f"""WITH {LABELLED}, {EXCL}, cand AS (SELECT s1, m, p, y, {sql_bucket('s1', 'fold', 2)} AS fold FROM excl WHERE p < 0.9), t AS (SELECT v::DOUBLE AS threshold FROM (VALUES (0.4), (0.6), (0.8)) x(v))
     SELECT fold::BIGINT AS fold, threshold, count(*)::BIGINT AS adds, round(avg(y), 6) AS precision FROM cand JOIN t ON p >= threshold GROUP BY fold, threshold""")
 def dc_gate(spark: SparkSession, d: str) -> DataFrame:
     """What adds above each threshold would gain, on each fold: a threshold chosen on one is checked on the other."""
-    x = D.exclusive(scored(spark, d)).where("p < 0.9").withColumn("fold", D.bucket(F.col("s1"), "fold", 2))
+    x = D.exclusive(labelled(spark, d)).where("p < 0.9").withColumn("fold", D.bucket(F.col("s1"), "fold", 2))
     t = spark.createDataFrame([(0.4,), (0.6,), (0.8,)], "threshold double")
     return x.crossJoin(F.broadcast(t)).where("p >= threshold").groupBy("fold", "threshold").agg(F.count(F.lit(1)).alias("adds"), F.round(F.avg("y"), 6).alias("precision"))
 
 
-@query(f"WITH {SCORED} SELECT m FROM (SELECT m, row_number() OVER (PARTITION BY m ORDER BY p DESC, s1) AS k FROM scored) WHERE k = 1 GROUP BY m HAVING count(*) > 1")
+@query(f"""WITH {SCORED}, {EXCL}, st AS (SELECT s1, m FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY p DESC, s1) AS k FROM scored) WHERE k = 1 AND p >= 0.6), li AS (SELECT t.entity_id AS s1, coalesce(string_agg(DISTINCT e.m, ',' ORDER BY e.m), '') AS l FROM s1t t LEFT JOIN (SELECT * FROM excl WHERE p >= 0.6) e ON e.s1 = t.entity_id GROUP BY 1)
+    SELECT 'two rows of a record, strict' AS what, (SELECT count(*) FROM (SELECT m FROM st GROUP BY m HAVING count(*) > 1))::BIGINT AS n UNION ALL SELECT 'two rows of a record' AS what, (SELECT count(*) FROM (SELECT m FROM excl WHERE p >= 0.6 GROUP BY m HAVING count(*) > 1))::BIGINT AS n
+    UNION ALL SELECT 'no candidate' AS what, (SELECT count(*) FROM excl e WHERE p >= 0.6 AND NOT EXISTS (SELECT 1 FROM candidate_pairs c WHERE c.s1 = e.s1 AND c.m = e.m))::BIGINT AS n UNION ALL SELECT 'rows without a list or with two' AS what, (SELECT count(DISTINCT entity_id) FROM s1t)::BIGINT - (SELECT count(*) FROM li)::BIGINT AS n
+    UNION ALL SELECT 'ids twice in a list' AS what, (SELECT count(*) FROM (SELECT s1, unnest(string_split(l, ',')) AS m FROM li WHERE l <> '') GROUP BY s1, m HAVING count(*) > 1)::BIGINT AS n""".replace("(SELECT count(*) FROM (SELECT s1, unnest(string_split(l, ',')) AS m FROM li WHERE l <> '') GROUP BY s1, m HAVING count(*) > 1)::BIGINT", "(SELECT count(*) FROM (SELECT s1, m FROM (SELECT s1, unnest(string_split(l, ',')) AS m FROM li WHERE l <> '') GROUP BY s1, m HAVING count(*) > 1))::BIGINT"))
 def dc_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """Records claimed by two rows after strict decoding: none."""
-    return D.best_per_record(scored(spark, d)).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    """Breaches of what must hold of a result: records on two rows (also before ties are broken), matches that are no candidates, rows
+    without exactly one list, ids twice in a list."""
+    x = scored(spark, d)
+    ids = s1(spark, d).select(F.col("entity_id").alias("s1"))
+    return D.breaches(x, D.decode(x, 0.6), D.best_per_record(x).where("p >= 0.6"), table(spark, d, "candidate_pairs"), ids)
+
+
+@query(f"WITH {LABELLED}, {EXCL}, pred AS (SELECT DISTINCT s1, m FROM truth WHERE EXISTS (SELECT 1 FROM scored s WHERE s.s1 = truth.s1 AND s.m = truth.m)), tr AS (SELECT s1, m FROM truth), " + ORACLES["dc_macro_f"][ORACLES["dc_macro_f"].index("j AS (SELECT coalesce(a.s1, b.s1)") :])
+def dc_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    """The macro F that these candidates allow: all known matches among them, nothing else."""
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"), "country")
+    t = truth(spark, d)
+    f = D.macro_fbeta(t.join(labelled(spark, d).select("s1", "m"), ["s1", "m"], "left_semi"), t, ids.select("s1")).join(ids, "s1")
+    return f.groupBy("country").agg(F.round(F.avg("f"), 6).alias("f"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("f_single"), F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("f_matched"), F.count(F.lit(1)).alias("n"))
+
+
+_GOT = "nt AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY s1)"
+
+
+@query(f"""WITH {LABELLED}, wt AS (SELECT w::DOUBLE AS weight FROM (VALUES (0.3), (0.5), (0.7)) v(w)), g AS (SELECT t::DOUBLE AS threshold FROM (VALUES (0.4), (0.6), (0.8)) v(t)), bl AS (SELECT s1, m, y, weight, round(CASE WHEN cos IS NULL THEN p ELSE 1 / (1 + exp(-(weight * {_LG.format('p')} + (1 - weight) * {_LG.format('cos')}))) END, 6) AS p FROM scored CROSS JOIN wt),
+    ex AS (SELECT * FROM (SELECT *, max(p) OVER (PARTITION BY weight, m) AS pm FROM bl) WHERE p = pm), got AS (SELECT weight, threshold, s1, count(*) AS n_pred, sum(y) AS tp FROM ex JOIN g ON p >= threshold GROUP BY ALL), {_GOT},
+    a AS (SELECT weight, threshold, t.entity_id AS s1, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1t t CROSS JOIN wt CROSS JOIN g LEFT JOIN nt ON nt.s1 = t.entity_id LEFT JOIN got USING (weight, threshold, s1)) SELECT weight, threshold, round(avg({_F}), 6) AS f FROM a GROUP BY weight, threshold""".replace("LEFT JOIN got USING (weight, threshold, s1)", "LEFT JOIN got ON got.weight = wt.weight AND got.threshold = g.threshold AND got.s1 = t.entity_id").replace("a AS (SELECT weight, threshold, t.entity_id", "a AS (SELECT wt.weight, g.threshold, t.entity_id"))
+def dc_blend_search(spark: SparkSession, d: str) -> DataFrame:
+    """The macro F of each weight of a blend and each threshold."""
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"))
+    return D.blend_search(labelled(spark, d), "cos", truth(spark, d), ids, [0.3, 0.5, 0.7], [0.4, 0.6, 0.8]).select("weight", "threshold", r("f"))
 
 
-@query(f"""WITH {SCORED}, tr AS (SELECT s1, m FROM scored WHERE y = 1) SELECT c.k::BIGINT AS k, round(count(CASE WHEN q.rank <= c.k THEN 1 END)::DOUBLE / (SELECT count(*) FROM tr), 6) AS recall
-    FROM tr t LEFT JOIN (SELECT s1, m, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS rank FROM scored) q ON q.s1 = t.s1 AND q.m = t.m CROSS JOIN (VALUES (1), (3), (5), (10)) c(k) GROUP BY c.k""")
+@query(f"""WITH {LABELLED}, {EXCL}, f AS (SELECT s1, m, y, sum(p) OVER o AS cum, row_number() OVER o AS k, sum(p) OVER (PARTITION BY s1) AS s,
+    exp(sum(ln(greatest(1e-6, least(1.0, 1 - p)))) OVER (PARTITION BY s1)) AS p0 FROM excl WHERE p >= 0.02 WINDOW o AS (PARTITION BY s1 ORDER BY p DESC, m ROWS UNBOUNDED PRECEDING)), e AS (SELECT *, round(1.25 * cum / (k + 0.25 * s), 9) AS e FROM f), x AS (SELECT *, max(e) OVER (PARTITION BY s1) AS em FROM e),
+    b AS (SELECT *, min(CASE WHEN e = em THEN k END) OVER (PARTITION BY s1) AS kb FROM x), got AS (SELECT s1, count(*) AS n_pred, sum(y) AS tp FROM b WHERE k <= kb AND em > p0 GROUP BY s1), {_GOT},
+    a AS (SELECT t.entity_id AS s1, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1t t LEFT JOIN nt ON nt.s1 = t.entity_id LEFT JOIN got ON got.s1 = t.entity_id) SELECT round(avg({_F}), 6) AS f FROM a""")
+def dc_grid_expected(spark: SparkSession, d: str) -> DataFrame:
+    """The macro F of the decoder by expected F, which has no threshold, beside dc_grid."""
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"))
+    return D.macro_fbeta(D.decode_expected_f(labelled(spark, d)), truth(spark, d), ids).agg(F.round(F.avg("f"), 6).alias("f"))
+
+
+_TUNE = f"{sql_bucket('t.entity_id', 'fold', 2)}"
+
+
+@query(f"""WITH {LABELLED}, {EXCL}, g AS (SELECT t::DOUBLE AS threshold FROM (VALUES (0.5), (0.6), (0.7), (0.8), (2.0)) v(t)), got AS (SELECT threshold, s1, count(*) AS n_pred, sum(y) AS tp FROM excl JOIN g ON p >= 0.8 OR p >= threshold GROUP BY ALL), {_GOT},
+    a AS (SELECT g.threshold, {_TUNE}::BIGINT AS fold, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1t t CROSS JOIN g LEFT JOIN nt ON nt.s1 = t.entity_id LEFT JOIN got ON got.s1 = t.entity_id AND got.threshold = g.threshold),
+    f AS (SELECT fold, threshold, round(avg({_F}), 9) AS f, round(avg(CASE WHEN n_true = 0 THEN {_F} END), 9) AS fs FROM a GROUP BY fold, threshold), b AS (SELECT * FROM f WHERE threshold = 2.0), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f DESC, threshold DESC) AS k FROM f WHERE threshold < 2.0) WHERE k = 1)
+    SELECT t.fold AS tuned_on, t.threshold, round(c.f - b.f, 6) AS gain, c.f - b.f >= 0.001 AND coalesce(c.fs, 0) >= coalesce(b.fs, 0) AS passed FROM best t JOIN f c ON c.fold = 1 - t.fold AND c.threshold = t.threshold JOIN b ON b.fold = c.fold""")
+def dc_tuned_gate(spark: SparkSession, d: str) -> DataFrame:
+    """A threshold for adds to a strict result, tuned on one fold and gated on the other: it must gain and not harm rows without matches."""
+    x = labelled(spark, d)
+    ids = train(spark, d)[0].select(F.col("entity_id").alias("s1"))
+    return D.tuned_gate(x, 0.8, [0.5, 0.6, 0.7, 0.8], truth(spark, d), ids, 0.001)
+
+
+@query(f"""WITH {SCORED}, {EXCL}, ad AS (SELECT s1, m FROM excl WHERE p >= 0.3 AND p < 0.9), nm AS (SELECT entity_id AS s1, country, regexp_replace(lower(business_name), '[^a-z0-9]', '', 'g') AS ck FROM s1t), tied AS (SELECT country, ck FROM nm WHERE ck <> '' GROUP BY country, ck HAVING count(*) >= 2),
+    bare AS (SELECT entity_id AS m FROM ({S23.removeprefix('s23 AS (').removesuffix(')')}) GROUP BY entity_id HAVING min(business_address) = '')
+    SELECT s1, m FROM ad WHERE NOT (m IN (SELECT m FROM bare) AND s1 IN (SELECT s1 FROM nm JOIN tied USING (country, ck)))""")
+def dc_tie_skip(spark: SparkSession, d: str) -> DataFrame:
+    """Adds but for those of records without an address where several clean rows have the name."""
+    from samewise.operators.rules import without_ties
+
+    adds = D.exclusive(scored(spark, d)).where("p >= 0.3 and p < 0.9").select("s1", "m")
+    a = s1(spark, d).select(F.col("entity_id").alias("id"), "country", F.lower("business_name").alias("n"))
+    b = s23(spark, d).groupBy("entity_id").agg(F.min("business_address").alias("a")).select(F.col("entity_id").alias("id"), "a")
+    return without_ties(adds, a, b)
+
+
+@query(f"""WITH {LABELLED}, r AS (SELECT s1, m, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS r0, CASE WHEN cos IS NOT NULL THEN row_number() OVER (PARTITION BY s1 ORDER BY coalesce(cos, -1) DESC, m) END AS r1, CASE WHEN cos IS NULL THEN row_number() OVER (PARTITION BY s1, cos IS NULL ORDER BY p DESC, m) END AS r2 FROM scored),
+    x AS (SELECT k, coalesce(r0 <= k, FALSE) AS h0, coalesce(r1 <= k, FALSE) AS h1, coalesce(r2 <= k, FALSE) AS h2 FROM truth LEFT JOIN r USING (s1, m) CROSS JOIN (VALUES (1), (5), (10), (30)) c(k))
+    SELECT 'both' AS route, k::BIGINT AS k, round(avg(h0::INT), 6) AS recall, round(avg(h0::INT), 6) AS union_recall FROM x GROUP BY k UNION ALL SELECT 'address' AS route, k::BIGINT AS k, round(avg(h1::INT), 6) AS recall, round(avg((h0 OR h1)::INT), 6) AS union_recall FROM x GROUP BY k
+    UNION ALL SELECT 'name only' AS route, k::BIGINT AS k, round(avg(h2::INT), 6) AS recall, round(avg((h0 OR h1 OR h2)::INT), 6) AS union_recall FROM x GROUP BY k""")
 def bl_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of the k best candidates."""
-    rank = W.ordered(scored(spark, d).select("s1", "m", "p"), ["s1"], [F.desc("p"), F.asc("m")], "rank").select("s1", "m", "rank")
-    t = truth(spark, d).join(rank, ["s1", "m"], "left").crossJoin(F.broadcast(spark.createDataFrame([(1,), (3,), (5,), (10,)], "k long")))
-    return t.groupBy("k").agg(F.round(F.count_if(F.col("rank") <= F.col("k")) / F.count(F.lit(1)), 6).alias("recall"))
+    """The share of the known matches that each route has among its k best, and with the routes before it."""
+    from samewise.operators.retrieval import recall_report
+
+    x = labelled(spark, d).select("s1", "m", "p", "cos")
+    rank = lambda df, c: W.ordered(df, ["s1"], [F.desc(c), F.asc("m")], "rank").select("s1", "m", "rank")
+    routes = [("both", rank(x, "p")), ("address", rank(x.withColumn("cos", F.coalesce("cos", F.lit(-1.0))), "cos").join(x.where("cos is not null").select("s1", "m"), ["s1", "m"], "left_semi")), ("name only", rank(x.where("cos is null"), "p"))]
+    return recall_report(routes, truth(spark, d), [1, 5, 10, 30]).select("route", "k", r("recall"), r("union_recall"))
 
 
 # --- candidate unions ------------------------------------------------------------------------------------------------------------
@@ -281,11 +350,11 @@ def cd_uncertain(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).where("p >= 0.02 and p < 0.998").select("s1", "m", r("p"))
 
 
-@query(f"""WITH {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS k FROM scored), h AS (SELECT s1, m, y, (y = 1 OR k <= 2) AS hard FROM k)
+@query(f"""WITH {LABELLED}, k AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS k FROM scored), h AS (SELECT s1, m, y, (y = 1 OR k <= 2) AS hard FROM k)
     SELECT s1, m, y::INTEGER AS y, CASE WHEN hard THEN 1.0 ELSE 5.0 END::DOUBLE AS w FROM h WHERE hard OR {sql_bucket('s1 || m', 'neg', 5)} = 0""")
 def cd_negatives(spark: SparkSession, d: str) -> DataFrame:
     """All hard rows, a fifth of the easy negatives with five times the weight."""
-    k = W.ordered(scored(spark, d), ["s1"], [F.desc("p"), F.asc("m")], "k").withColumn("hard", (F.col("y") == 1) | (F.col("k") <= 2))
+    k = W.ordered(labelled(spark, d), ["s1"], [F.desc("p"), F.asc("m")], "k").withColumn("hard", (F.col("y") == 1) | (F.col("k") <= 2))
     k = k.where(F.col("hard") | (D.bucket(F.concat("s1", "m"), "neg", 5) == 0))
     return k.select("s1", "m", "y", F.when(F.col("hard"), 1.0).otherwise(5.0).alias("w"))
 
@@ -356,11 +425,11 @@ def ag_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).groupBy("country").agg(F.round(F.percentile("p", 0.5), 6).alias("p50"), F.round(F.percentile("p", 0.9), 6).alias("p90"))
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM scored)
+@query(f"""WITH {LABELLED}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM scored)
     SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM r""")
 def ag_auc(spark: SparkSession, d: str) -> DataFrame:
     """The area under the ROC curve by average ranks, from counts by distinct score."""
-    c = scored(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).withColumn("g", F.lit(1))
+    c = labelled(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).withColumn("g", F.lit(1))
     c = W.ordered(c, ["g"], [F.asc("p")], "i", {"upto": "n"})
     c = c.withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     t = c.agg(F.sum(F.col("k") * F.col("rank")).alias("s"), F.sum("k").alias("k"), F.sum("n").alias("n"))

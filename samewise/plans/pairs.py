@@ -9,7 +9,7 @@ from samewise.functions import text as N
 from samewise.operators import decode as D
 from samewise.operators import features as X
 from samewise.operators import rules as U
-from samewise.plans.base import EXCL, SCORED, scored
+from samewise.plans.base import EXCL, LABELLED, SCORED, labelled, scored
 from samewise.plans.texts import _BIZ, _CK, _CORE, _LEGAL, _PAIR, _SK, _TA, _TB, _TOK, biz, pairs
 from samewise.session import staged
 

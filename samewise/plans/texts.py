@@ -9,7 +9,7 @@ from samewise.functions import similarity as S
 from samewise.functions import text as N
 from samewise.functions.phonetic import udf_code
 from samewise.operators import retrieval as R
-from samewise.plans.base import S1, S23, SCORED, s1, s23, scored
+from samewise.plans.base import CLEAN, LABELLED, LATIN, S1, S23, SCORED, TOK, labelled, s1, s23, scored, train, truth
 from samewise.session import table
 
 QUERIES: dict = {}
@@ -26,17 +26,28 @@ def query(sql: str | None = None):
     return add
 
 
-_LATIN = f"replace(replace(replace(translate(lower({{0}}), '{N.ACCENTED}', '{N.BASE}'), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')"
-_CLEAN = f"trim(regexp_replace({_LATIN}, '[^a-z0-9]+', ' ', 'g'))"
-_TOK = "list_filter(string_split({0}, ' '), lambda t: t <> '')"
+_LATIN, _CLEAN, _TOK = LATIN, CLEAN, TOK
 _BIZ = f"""{S1}, {S23}, biz AS (SELECT 1 AS side, entity_id AS id, country, business_name AS raw, business_address AS addr FROM s1t UNION ALL SELECT 2 AS side, entity_id AS id, country, business_name AS raw, business_address AS addr FROM s23),
     cl AS (SELECT side, id, country, raw, addr, {_CLEAN.format('raw')} AS n, {_CLEAN.format('addr')} AS a FROM biz)"""
 
 
-def biz(spark: SparkSession, d: str) -> DataFrame:
-    """All records: side 1 the clean source, side 2 the noisy ones; n and a their cleaned name and address."""
-    a = s1(spark, d).select(F.lit(1).alias("side"), F.col("entity_id").alias("id"), "country", F.col("business_name").alias("raw"), F.col("business_address").alias("addr"))
-    b = s23(spark, d).select(F.lit(2).alias("side"), F.col("entity_id").alias("id"), "country", F.col("business_name").alias("raw"), F.col("business_address").alias("addr"))
+#: The same over the labelled tables.
+_BIZ_TRAIN = _BIZ.replace("test_source", "train_source")
+
+
+def lcs_sql(pairs_: str) -> str:
+    """CTE lcs (x, y, n): the length of the longest common subsequence of each pair (x, y) of the table pairs_, row by row of the table of
+    lengths: a cell is the highest of the cells before it, raised where the letters are equal."""
+    return f"""lr AS (SELECT x, y, 0 AS i, list_transform(range(length(y)), lambda j: 0) AS r FROM (SELECT DISTINCT x, y FROM {pairs_}) UNION ALL
+    SELECT x, y, i + 1 AS i, list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], (CASE WHEN k > 1 THEN r[k - 1] ELSE 0 END) + (CASE WHEN x[i + 1] = y[k] THEN 1 ELSE 0 END))))) AS r FROM lr WHERE i < length(x)),
+    lcs AS (SELECT x, y, coalesce(r[length(y)], 0) AS n FROM lr WHERE i = length(x))"""
+
+
+def biz(spark: SparkSession, d: str, known: bool = False) -> DataFrame:
+    """All records: side 1 the clean source, side 2 the noisy ones; n and a their cleaned name and address. known: of the labelled tables."""
+    one, more = train(spark, d)[:2] if known else (s1(spark, d), s23(spark, d))
+    a = one.select(F.lit(1).alias("side"), F.col("entity_id").alias("id"), "country", F.col("business_name").alias("raw"), F.col("business_address").alias("addr"))
+    b = more.select(F.lit(2).alias("side"), F.col("entity_id").alias("id"), "country", F.col("business_name").alias("raw"), F.col("business_address").alias("addr"))
     return a.unionByName(b).withColumn("n", N.clean(F.col("raw"))).withColumn("a", N.clean(F.col("addr")))
 
 
@@ -203,6 +214,49 @@ def nm_indic(spark: SparkSession, d: str) -> DataFrame:
     return biz(spark, d).where(N.has_indic(F.col("raw"))).select("id", N.nfkd("raw").alias("latin"))
 
 
+@query(f"WITH {_BIZ} SELECT id, trim(regexp_replace(lower(strip_accents(raw)), '[^a-z0-9]+', ' ', 'g')) AS norm FROM cl WHERE regexp_matches(raw, '^[ -~À-ÖØ-ÝÞà-öù-ýÿ]*$') AND NOT regexp_matches(raw, '[Þþ]')")
+def nm_norm(spark: SparkSession, d: str) -> DataFrame:
+    """The normaliser of the rules, which keeps letters of every script, over the names in Western letters."""
+    x = biz(spark, d).where(F.col("raw").rlike("^[ -~À-ÖØ-ÝÞà-öù-ýÿ]*$") & ~F.col("raw").rlike("[Þþ]"))
+    return x.select("id", N.norm(F.col("raw")).alias("norm"))
+
+
+@query()
+def nm_norm_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all other names."""
+    x = biz(spark, d).where(~F.col("raw").rlike("^[ -~À-ÖØ-ÝÞà-öù-ýÿ]*$"))
+    return x.select("id", N.norm(F.col("raw")).alias("norm"))
+
+
+_DOTTED = "lower(raw)"
+for _p, _q in N.DOTTED:
+    _DOTTED = f"regexp_replace({_DOTTED}, '{_p}', '{_q}', 'g')"
+
+
+@query(f"WITH {_BIZ} SELECT id, array_to_string(list_filter(string_split(trim(regexp_replace({LATIN.format(_DOTTED)}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: list_contains([{', '.join(repr(x) for x in N.LEGAL_FORMS)}], t)), ' ') AS legal FROM cl")
+def nm_legal_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The legal forms of each name, also where they are written with dots."""
+    t = N.tokens(N.clean(N.undotted(F.col("raw"))))
+    return biz(spark, d).select("id", F.array_join(F.filter(t, lambda x: x.isin(*N.LEGAL_FORMS)), " ").alias("legal"))
+
+
+@query(f"WITH {_BIZ} SELECT id, 'query: ' || n || ' | ' || a AS query, n || ' | ' || a AS pair FROM cl")
+def nm_record_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a record for encoders and pair models."""
+    return biz(spark, d).select("id", N.record_text(F.col("n"), F.col("a"), "query: ").alias("query"), N.record_text(F.col("n"), F.col("a")).alias("pair"))
+
+
+_AL = f"list_filter(string_split({_CLEAN.format("regexp_extract(raw, '" + _DBA + "', 1)")}, ' '), lambda t: t <> '')"
+
+
+@query(f"WITH {_BIZ}, t AS (SELECT side, id, (CASE WHEN len({_CORE}) > 0 THEN {_CORE} ELSE {_TOK.format('n')} END) AS c, CASE WHEN side = 2 THEN {_AL} ELSE [] END AS al, {_TOK.format('a')} AS aw, regexp_replace(n, '[^a-z0-9]', '', 'g') AS cmp FROM cl) SELECT id, array_to_string(list_concat(list_concat(list_concat(list_concat(c, al), aw), list_transform(range(1, len(aw)), lambda i: aw[i] || '_' || aw[i + 1])), CASE WHEN cmp <> '' THEN ['cmp_' || cmp] ELSE [] END), ' ') AS doc FROM t")
+def nm_block_document(spark: SparkSession, d: str) -> DataFrame:
+    """The words that a record is retrieved by: core name, a noisy record's alias, address and its bigrams, the compact name."""
+    x = biz(spark, d)
+    alias = F.when(F.col("side") == 2, N.tokens(N.clean(N.alias_name(F.col("raw"))))).otherwise(F.array().cast("array<string>"))
+    return x.select("id", F.array_join(N.block_document(N.core(N.tokens(F.col("n"))), alias, N.tokens(F.col("a")), N.compact(F.col("n"))), " ").alias("doc"))
+
+
 # --- similarities on scored pairs ------------------------------------------------------------------------------------------------
 _PAIR = f"{SCORED}, {S23}, pr AS (SELECT c.s1, c.m, {_CLEAN.format('t.business_name')} AS a, {_CLEAN.format('r.business_name')} AS b FROM scored c JOIN s1t t ON t.entity_id = c.s1 JOIN (SELECT entity_id, max(business_name) AS business_name FROM s23 GROUP BY 1) r ON r.entity_id = c.m)"
 
@@ -228,9 +282,32 @@ def ss_jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).where("a <> '' and b <> ''").select("s1", "m", F.round(S.udf_jaro_winkler("a", "b"), 5).alias("jw"))
 
 
-@query()
+_SORTED = "array_to_string(list_sort({0}), ' ')"
+_BOTH, _LEFT, _RIGHT = (f"list_sort(list_distinct({x}))" for x in (f"list_intersect({_TA}, {_TB})", f"list_filter({_TA}, lambda t: NOT list_contains({_TB}, t))", f"list_filter({_TB}, lambda t: NOT list_contains({_TA}, t))"))
+#: x and y of the five ratios: as they are, sorted, and common tokens with either side's rest.
+RATIO_PAIRS = f"""rp AS (SELECT s1, m, a, b, {_SORTED.format(_TA)} AS sa, {_SORTED.format(_TB)} AS sb, array_to_string({_BOTH}, ' ') AS co, array_to_string(list_concat({_BOTH}, {_LEFT}), ' ') AS pa, array_to_string(list_concat({_BOTH}, {_RIGHT}), ' ') AS pb,
+    len({_BOTH}) AS nb, len({_LEFT}) AS nl, len({_RIGHT}) AS nr, len({_TA}) AS na_, len({_TB}) AS nb_ FROM pr), xy AS (SELECT a AS x, b AS y FROM rp UNION SELECT sa AS x, sb AS y FROM rp UNION SELECT pa AS x, pb AS y FROM rp), {lcs_sql('xy')}"""
+_RATIO = "(CASE WHEN length({0}) + length({1}) = 0 THEN 100.0 ELSE 200.0 * {2} / (length({0}) + length({1})) END)"
+_TSET = "CASE WHEN na_ = 0 OR nb_ = 0 THEN 0.0 WHEN nb > 0 AND (nl = 0 OR nr = 0) THEN 100.0 WHEN nb = 0 THEN {0} ELSE greatest({0}, {1}, {2}) END".format(_RATIO.format("pa", "pb", "l3.n"), _RATIO.format("co", "pa", "length(co)"), _RATIO.format("co", "pb", "length(co)"))
+RATIO_SQL = f"SELECT s1, m, round({_RATIO.format('a', 'b', 'l1.n')}, 4) AS ratio, round({_TSET}, 4) AS tset, round({_RATIO.format('sa', 'sb', 'l2.n')}, 4) AS tsort FROM rp JOIN lcs l1 ON l1.x = a AND l1.y = b JOIN lcs l2 ON l2.x = sa AND l2.y = sb JOIN lcs l3 ON l3.x = pa AND l3.y = pb"
+
+
+@query(f"WITH RECURSIVE {_PAIR}, {RATIO_PAIRS} {RATIO_SQL}")
 def ss_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("s1", "m", *[F.round(f("a", "b"), 4).alias(n) for n, f in (("ratio", S.udf_ratio), ("tset", S.udf_token_set), ("tsort", S.udf_token_sort), ("partial", S.udf_partial))])
+    """Three ratios of the names of scored pairs: each distinct pair of names is scored once."""
+    return S.scored_once(pairs(spark, d), "a", "b", {"ratio": S.ratio, "tset": S.token_set_ratio, "tsort": S.token_sort_ratio}).select("s1", "m", *[F.round(c, 4).alias(c) for c in ("ratio", "tset", "tsort")])
+
+
+@query()
+def ss_partial(spark: SparkSession, d: str) -> DataFrame:
+    return S.scored_once(pairs(spark, d), "a", "b", {"partial": S.partial_ratio}).select("s1", "m", F.round("partial", 4).alias("partial"))
+
+
+@query(f"""WITH {_PAIR}, l AS (SELECT s1, m, a, b, list_distinct({_TA}) AS x, list_distinct({_TB}) AS y, regexp_replace(a, '[^a-z0-9]', '', 'g') AS ca, regexp_replace(b, '[^a-z0-9]', '', 'g') AS cb FROM pr)
+    SELECT s1, m, CASE WHEN b = '' THEN 'no name' WHEN a = b THEN 'same' WHEN ca = cb THEN 'same letters' WHEN len(x) = len(y) AND len(list_intersect(x, y)) = len(x) THEN 'same words' WHEN len(list_intersect(x, y)) = len(x) THEN 'words added' WHEN len(list_intersect(x, y)) = len(y) THEN 'words left out' WHEN levenshtein(a, b) <= 2 THEN 'mistyped' WHEN len(list_intersect(x, y)) > 0 THEN 'shares words' ELSE 'other' END AS relation FROM l""")
+def nm_relation(spark: SparkSession, d: str) -> DataFrame:
+    """How the two names of a pair are related."""
+    return pairs(spark, d).select("s1", "m", N.relation(F.col("a"), F.col("b")).alias("relation"))
 
 
 _IDF = f"""{_BIZ}, p AS (SELECT s1 AS q, m AS c FROM scored), ta AS (SELECT id, unnest(list_distinct({_TOK.format('n')})) AS t FROM cl), df AS (SELECT t, ln((SELECT count(*) FROM cl)::DOUBLE / count(*)) AS idf FROM ta GROUP BY t), w AS (SELECT id, t, idf FROM ta JOIN df USING (t)),
@@ -309,14 +386,14 @@ def bl_native(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_BIZ}, k AS (SELECT DISTINCT side, id, country, key FROM (SELECT side, id, country, unnest(list_concat(list_concat({_TOK.format('n')}, {_TOK.format('a')}), list_transform(range(1, len({_TOK.format('a')})), lambda i: ({_TOK.format('a')})[i] || '_' || ({_TOK.format('a')})[i + 1]))) AS key FROM cl) WHERE length(key) > 1),
-    n AS (SELECT country, count(*) AS n FROM cl GROUP BY country), df AS (SELECT country, key, count(*) AS df FROM k GROUP BY country, key HAVING count(*) <= 50), r AS (SELECT * FROM (SELECT k.*, df, row_number() OVER (PARTITION BY side, id ORDER BY df, key) AS i FROM k JOIN df USING (country, key)) WHERE i <= 8),
+    n AS (SELECT country, count(*) AS n FROM cl GROUP BY country), df AS (SELECT country, key, df FROM (SELECT country, key, count(*) AS df FROM k GROUP BY country, key) JOIN n USING (country) WHERE df <= greatest(50.0, n * 0.0005)), r AS (SELECT * FROM (SELECT k.*, df, row_number() OVER (PARTITION BY side, id ORDER BY df, key) AS i FROM k JOIN df USING (country, key)) WHERE i <= 8),
     s AS (SELECT a.id AS q, b.id AS c, round(sum(ln(n::DOUBLE / a.df)), 6) AS score, count(*) AS key_n FROM r a JOIN r b ON a.country = b.country AND a.key = b.key AND a.side = 1 AND b.side = 2 JOIN n ON n.country = a.country GROUP BY 1, 2)
     SELECT q, c, score, key_n::BIGINT AS key_n, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM s) WHERE rank <= 5""")
 def bl_rare_keys(spark: SparkSession, d: str) -> DataFrame:
     a = N.tokens(F.col("a"))
     x = biz(spark, d)
     k = x.select("side", "id", "country", F.explode(F.concat(N.tokens(F.col("n")), a, N.bigrams(a))).alias("key")).where("length(key) > 1")
-    return R.rare_key_join(k, x.groupBy("country").agg(F.count(F.lit(1)).alias("n")), 50, 8, 5)
+    return R.rare_key_join(k, x.groupBy("country").agg(F.count(F.lit(1)).alias("n")), 50, 8, 5, 0.0005)
 
 
 def _guard_sql(key: str, a: int, b: int) -> str:
@@ -337,14 +414,22 @@ def bl_same_name(spark: SparkSession, d: str) -> DataFrame:
     return R.guarded_join(biz(spark, d), F.concat(N.compact(F.col("n")), F.lit("|"), N.house_number(F.col("a"))), 20, 80)
 
 
-@query()
+_WORDS = f"list_filter({_TOK.format('a')}, lambda t: NOT regexp_matches(t, '[0-9]'))"
+_HOUSE = "nullif(ltrim(regexp_extract(a, '([0-9]+)', 1), '0'), '')"
+
+
+@query(f"""WITH {_BIZ}, r AS (SELECT side, id, country, regexp_replace(n, '[^a-z0-9]', '', 'g') AS name, {_HOUSE} AS house, {_WORDS} AS words FROM cl), rr AS (SELECT * FROM r WHERE length(name) >= 3), nn AS (SELECT country, count(*) AS n FROM rr GROUP BY country),
+    w AS (SELECT side, id, country, name, unnest(list_distinct(words)) AS w FROM rr), rare AS (SELECT country, w FROM (SELECT country, w, count(*) AS df FROM w WHERE length(w) >= 3 GROUP BY country, w) JOIN nn USING (country) WHERE df < 0.1 * n),
+    k AS (SELECT DISTINCT side, id, country, key FROM (SELECT side, id, country, name || '|#' || house AS key FROM rr WHERE house IS NOT NULL UNION ALL SELECT side, id, w.country, name || '|' || w.w AS key FROM w JOIN rare ON rare.country = w.country AND rare.w = w.w)),
+    ok AS (SELECT country, key FROM k GROUP BY country, key HAVING count(*) FILTER (WHERE side = 1) BETWEEN 1 AND 20 AND count(*) FILTER (WHERE side = 2) BETWEEN 1 AND 80)
+    SELECT DISTINCT x.id AS q, y.id AS c FROM k x JOIN k y ON x.country = y.country AND x.key = y.key AND x.side = 1 AND y.side = 2 JOIN ok ON ok.country = x.country AND ok.key = x.key""")
 def bl_same_name_or_word(spark: SparkSession, d: str) -> DataFrame:
     """Same compact name and the house number or an address word in less than a tenth of the country's rows."""
     x = biz(spark, d).select("side", "id", "country", N.compact(F.col("n")).alias("name"), N.house_number(F.col("a")).alias("house"), F.filter(N.tokens(F.col("a")), lambda t: ~t.rlike("[0-9]")).alias("words"))
     return R.same_name_join(x, 0.1, 20, 80)
 
 
-@query()
+@query(f"WITH {_BIZ}, " + _tf_sql(_GRAMS.format(_TOK.format("n")), 25, 0.02, 2, "side = 1 OR a = ''").format(q=2) + " AND rank > 10")
 def bl_reverse_band(spark: SparkSession, d: str) -> DataFrame:
     """Of each record without an address the clean rows on ranks 11 to 25 by name."""
     x = biz(spark, d).where("side = 1 or a = ''").select("side", "id", "country", N.char_grams(N.tokens(F.col("n"))).alias("tokens"))
@@ -352,6 +437,28 @@ def bl_reverse_band(spark: SparkSession, d: str) -> DataFrame:
     return R.similarity_join(q, c, 25).where("rank > 10")
 
 
+_HOUSED = f"""hr AS (SELECT DISTINCT side, id, country, {_HOUSE} AS house, {_WORDS} AS words FROM cl), nn AS (SELECT country, count(*) AS n FROM hr GROUP BY country), hw AS (SELECT side, id, country, house, unnest(list_distinct(words)) AS w FROM hr),
+    dw AS (SELECT country, w, count(*) AS df FROM hw GROUP BY country, w), hx AS (SELECT hw.*, df, n FROM hw JOIN dw ON dw.country = hw.country AND dw.w = hw.w JOIN nn ON nn.country = hw.country WHERE house IS NOT NULL AND length(hw.w) >= 3)"""
+_GUARDED = """ok AS (SELECT country, key FROM k GROUP BY country, key HAVING count(*) FILTER (WHERE side = 1) BETWEEN 1 AND 20 AND count(*) FILTER (WHERE side = 2) BETWEEN 1 AND 80)
+    SELECT DISTINCT x.id AS q, y.id AS c FROM k x JOIN k y ON x.country = y.country AND x.key = y.key AND x.side = 1 AND y.side = 2 JOIN ok ON ok.country = x.country AND ok.key = x.key"""
+
+
+def _housed(spark: SparkSession, d: str) -> DataFrame:
+    return biz(spark, d).select("side", "id", "country", N.house_number(F.col("a")).alias("house"), F.filter(N.tokens(F.col("a")), lambda t: ~t.rlike("[0-9]")).alias("words")).distinct()
+
+
+@query(f"WITH {_BIZ}, {_HOUSED}, k AS (SELECT DISTINCT side, id, country, house || '|' || s AS key FROM (SELECT side, id, country, house, string_agg(DISTINCT w, ' ' ORDER BY w) AS s FROM hx WHERE df < greatest(2.0, n * 0.002) GROUP BY side, id, country, house)), {_GUARDED}")
+def bl_house_rare_words(spark: SparkSession, d: str) -> DataFrame:
+    """House number and all words of the address that less than 0.2 % of the country's rows have."""
+    return R.guarded_join(R.house_keys(_housed(spark, d))[0], F.col("key"), 20, 80)
+
+
+@query(f"WITH {_BIZ}, {_HOUSED}, k AS (SELECT DISTINCT side, id, country, house || '|' || w AS key FROM (SELECT *, row_number() OVER (PARTITION BY side, id, country ORDER BY df, w) AS i FROM hx) WHERE i <= 2), {_GUARDED}")
+def bl_house_rarest(spark: SparkSession, d: str) -> DataFrame:
+    """House number and each of the two rarest words of the address."""
+    return R.guarded_join(R.house_keys(_housed(spark, d))[1], F.col("key"), 20, 80)
+
+
 @query()
 def bl_phonetic(spark: SparkSession, d: str) -> DataFrame:
     return R.guarded_join(biz(spark, d), F.concat(udf_code("n"), F.lit("|"), N.house_number(F.col("a"))), 10, 40)
@@ -394,11 +501,36 @@ def bl_dense_reverse(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_top_k(c, q, 3)
 
 
-@query(f"WITH {_BIZ}, r AS (" + _guard_sql("nullif(ltrim(regexp_extract(a, '([0-9]+)', 1), '0'), '') || '|' || nullif(" + _SK + ", '')", 20, 80) + "), known AS (SELECT s1 AS q, m AS c FROM candidate_pairs) SELECT q, c FROM r WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.q = r.q AND k.c = r.c)")
+_COS = f"""ct AS (SELECT id, unnest(list_distinct(list_concat({_TOK.format('n')}, {_TOK.format('a')}))) AS t FROM one), cd AS (SELECT t, ln((1 + (SELECT count(*) FROM one))::DOUBLE / (1 + count(*))) + 1 AS w FROM ct GROUP BY t), cw AS (SELECT id, t, w FROM ct JOIN cd USING (t)), cn AS (SELECT id, sqrt(sum(w * w)) AS nrm FROM cw GROUP BY id),
+    ch AS (SELECT q, c, sum(x.w * y.w) AS dot FROM cp JOIN cw x ON x.id = q JOIN cw y ON y.id = c AND y.t = x.t GROUP BY q, c), cc AS (SELECT cp.q, cp.c, round(coalesce(dot / (a.nrm * b.nrm), 0), 6) AS cosine FROM cp LEFT JOIN ch ON ch.q = cp.q AND ch.c = cp.c LEFT JOIN cn a ON a.id = cp.q LEFT JOIN cn b ON b.id = cp.c)"""
+_ONE = "one AS (SELECT side, id, r.n AS n, r.a AS a FROM (SELECT side, id, min(struct_pack(n := n, a := a)) AS r FROM cl GROUP BY side, id))"
+
+
+def _texts_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(id, tokens) of each clean row and record, by the words of name and address."""
+    one = biz(spark, d).groupBy("side", "id").agg(F.min(F.struct("n", "a")).alias("r"))
+    x = one.select("side", "id", F.concat(N.tokens(F.col("r.n")), N.tokens(F.col("r.a"))).alias("tokens"))
+    return x.where("side = 1").drop("side"), x.where("side = 2").drop("side")
+
+
+@query(f"WITH {SCORED}, " + _BIZ.replace(f"{S1}, ", "") + f", {_ONE}, cp AS (SELECT DISTINCT s1 AS q, m AS c FROM scored), {_COS} SELECT q, c, cosine FROM cc")
+def ss_idf_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine of given pairs by inverse document frequencies."""
+    p = scored(spark, d).select(F.col("s1").alias("q"), F.col("m").alias("c"))
+    return R.idf_cosine(p, *_texts_of(spark, d)).select("q", "c", F.round("cosine", 6).alias("cosine"))
+
+
+_STREET_KEY = "nullif(ltrim(regexp_extract(a, '([0-9]+)', 1), '0'), '') || '|' || nullif(" + _SK + ", '')"
+_NAME_KEY = "regexp_replace(n, '[^a-z0-9]', '', 'g') || '|' || nullif(ltrim(regexp_extract(a, '([0-9]+)', 1), '0'), '')"
+
+
+@query(f"""WITH {_BIZ}, {_ONE}, rt AS (SELECT q, c, 'street' AS route FROM ({_guard_sql(_STREET_KEY, 20, 80)}) UNION ALL SELECT q, c, 'name' AS route FROM ({_guard_sql(_NAME_KEY, 20, 80)})), known AS (SELECT s1 AS q, m AS c FROM candidate_pairs),
+    nw AS (SELECT * FROM rt r WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.q = r.q AND k.c = r.c)), cp AS (SELECT DISTINCT q, c FROM nw), {_COS}
+    SELECT q, c, route, cosine FROM (SELECT q, c, route, cosine, row_number() OVER (PARTITION BY q, route ORDER BY cosine DESC, c) AS i FROM nw JOIN cc USING (q, c)) WHERE i <= 2""")
 def bl_new_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """A route's pairs that no route found before."""
+    """Of the pairs of two routes that no route found before, the two of each clean row and route with the highest IDF cosine."""
     known = table(spark, d, "candidate_pairs").select(F.col("s1").alias("q"), F.col("m").alias("c"))
-    return bl_house_street(spark, d).join(known, ["q", "c"], "left_anti")
+    return R.new_pairs([("street", bl_house_street(spark, d)), ("name", bl_same_name(spark, d))], known, *_texts_of(spark, d))
 
 
 @query(f"""WITH {_BIZ}, w AS (SELECT id, list_distinct({_TOK.format('n')}) AS l FROM cl WHERE side = 1), p AS (SELECT x.a, y.b, count(*) AS n FROM (SELECT id, unnest(l) AS a FROM w) x JOIN (SELECT id, unnest(l) AS b FROM w) y ON x.id = y.id AND x.a < y.b GROUP BY 1, 2)
