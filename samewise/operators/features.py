@@ -16,7 +16,7 @@ def derived(df: DataFrame, side: str) -> DataFrame:
     return df.select(
         F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("a").alias(f"a_{side}"), F.array_join(N.core(toks), " ").alias(f"core_{side}"), N.legal(toks).alias(f"legal_{side}"),
         N.compact(F.col("n")).alias(f"compact_{side}"), N.acronym(N.core(toks)).alias(f"acr_{side}"), nums.alias(f"nums_{side}"), F.try_element_at(nums, F.lit(1)).alias(f"num_{side}"),
-        F.array_join(F.filter(at, lambda t: ~t.rlike("[0-9]")), " ").alias(f"words_{side}"), (N.web_host(F.col("raw")) != "").alias(f"web_{side}"),
+        F.array_join(F.filter(at, lambda t: ~t.rlike("[0-9]")), " ").alias(f"words_{side}"), (N.web_host(F.col("raw")) != "").alias(f"web_{side}"), N.clean(N.alias_name(F.col("raw"))).alias(f"alt_{side}"),
     )
 
 
@@ -41,6 +41,7 @@ def plain_features(x: DataFrame) -> DataFrame:
         "num_count_a": F.size("nums_a").cast("double"), "num_count_b": F.size("nums_b").cast("double"), "legal_eq": flag(F.col("legal_a") == F.col("legal_b")),
         "legal_missing": flag((F.col("legal_a") == "") != (F.col("legal_b") == "")), "b_is_web": flag(F.col("web_b")), "b_addr_empty": flag(F.col("a_b") == ""),
         "num_first_eq": F.when(both, flag(F.col("num_a") == F.col("num_b"))).otherwise(-1.0), "num_first_lev": F.when(both, F.levenshtein("num_a", "num_b").cast("double")).otherwise(-1.0),
+        "num_first_lendiff": F.when(both, (F.length("num_b") - F.length("num_a")).cast("double")).otherwise(-1.0),
         "num_first_absdiff": F.when(known, F.log1p(F.abs(na - nb))).otherwise(-1.0), "num_first_signed": F.when(known, F.signum(nb - na) * F.log1p(F.abs(nb - na))),
     })
 
@@ -48,12 +49,29 @@ def plain_features(x: DataFrame) -> DataFrame:
 def fuzzy_features(x: DataFrame) -> DataFrame:
     """The similarities of names and addresses. -1 stands for not applicable."""
     no = F.col("a_b") == ""
+    numbered = (F.size("nums_a") > 0) & (F.size("nums_b") > 0)
+    x = x.withColumns({"_na": F.array_join("nums_a", " "), "_nb": F.array_join("nums_b", " ")})
     return x.withColumns({
         "n_ratio": S.udf_ratio("core_a", "core_b"), "n_tset": S.udf_token_set("core_a", "core_b"), "n_tsort": S.udf_token_sort("core_a", "core_b"), "n_partial": S.udf_partial("core_a", "core_b"),
         "n_jw": S.udf_jaro_winkler("core_a", "core_b"), "n_clean_tset": S.udf_token_set("n_a", "n_b"), "n_compact_ratio": S.udf_ratio("compact_a", "compact_b"),
         "a_ratio": F.when(no, -1.0).otherwise(S.udf_ratio("a_a", "a_b")), "a_tset": F.when(no, -1.0).otherwise(S.udf_token_set("a_a", "a_b")), "a_tsort": F.when(no, -1.0).otherwise(S.udf_token_sort("a_a", "a_b")),
         "a_words_tset": F.when(no, -1.0).otherwise(S.udf_token_set("words_a", "words_b")), "x_name_in_addr": S.udf_partial("core_b", "a_a"),
-    }).withColumn("sim_mix", (F.col("n_tset") + F.col("a_tset")) / 2)
+        "n_clean_ratio": S.udf_ratio("n_a", "n_b"), "n_compact_partial": S.udf_partial("compact_a", "compact_b"), "n_alt_tset": F.when(F.col("alt_b") == "", -1.0).otherwise(S.udf_token_set("core_a", "alt_b")),
+        "a_partial": F.when(no, -1.0).otherwise(S.udf_partial("a_a", "a_b")), "num_tset": F.when(numbered, S.udf_token_set("_na", "_nb")).otherwise(-1.0), "num_first_ratio": F.when(numbered, S.udf_ratio("num_a", "num_b")).otherwise(-1.0),
+    }).drop("_na", "_nb").withColumn("sim_mix", (F.col("n_tset") + F.col("a_tset")) / 2)
+
+
+def frame(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs (q, c, …) with all features of both texts: plain ones, similarities, and the overlaps of the words of names and of
+    addresses by inverse document frequencies. a, b: (id, raw, n, a)."""
+    from samewise.operators.retrieval import idf_overlap
+
+    x = fuzzy_features(plain_features(joined(pairs, a, b)))
+    for c, text in (("n", "n"), ("a", "a")):
+        words = [df.select("id", N.tokens(F.col(text)).alias("tokens")) for df in (a, b)]
+        o = idf_overlap(pairs.select("q", "c").distinct(), *words).select("q", "c", F.col("widf").alias(f"{c}_widf"), F.col("widf_max").alias(f"{c}_widf_max"), F.col("shared").cast("double").alias(f"{c}_shared"))
+        x = x.join(o, ["q", "c"])
+    return x
 
 
 def token_odds(pairs: DataFrame, kind: str, least: int) -> DataFrame:

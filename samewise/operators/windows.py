@@ -72,3 +72,25 @@ def average_rank_quantile(df: DataFrame, score: str, key: str, name: str) -> Dat
 def twins(df: DataFrame, score: str, key: str, least: float, name: str) -> DataFrame:
     """name: how many rows of the group have a score of least or more."""
     return with_group(df, key, **{name: F.count_if(F.col(score) >= least)})
+
+
+def global_context(df: DataFrame, score: str, twin: float) -> DataFrame:
+    """df (s1, m, score, …) with ranks and gaps of score within its m (c) and its s1 (q), twins_c and twins_q (rows with twin or more), and
+    margins over the best other value of each."""
+    x = gap_and_rank(gap_and_rank(df, score, "s1", "m", "q"), score, "m", "s1", "c")
+    x = twins(twins(x, score, "m", twin, "twins_c"), score, "s1", twin, "twins_q")
+    return second_best(second_best(x, score, "m", f"{score}_margin_c"), score, "s1", f"{score}_margin_q")
+
+
+def triangle(pairs: DataFrame, texts: DataFrame, scorer, name: str) -> DataFrame:
+    """pairs (s1, m, p) with name: the likeness by scorer of m's text to that of the anchor, the most likely other record of its s1; -1
+    without one. texts: (m, text), one for each record."""
+    from samewise.functions.similarity import scored_once
+
+    k = ordered(pairs.select("s1", "m", "p"), ["s1"], [F.desc("p"), F.asc("m")], "_k")
+    first, second = (k.where(F.col("_k") == i).select("s1", F.col("m").alias(f"_m{i}")) for i in (1, 2))
+    x = k.join(first, "s1", "left").join(second, "s1", "left").withColumn("_anchor", F.when(F.col("_k") == 1, F.col("_m2")).otherwise(F.col("_m1")))
+    t = lambda i, c: texts.select(F.col("m").alias(i), F.col("text").alias(c))
+    x = x.join(t("m", "_own"), "m", "left").join(t("_anchor", "_other"), "_anchor", "left").withColumn("_own", F.coalesce("_own", F.lit("")))
+    x = x.withColumn("_other", F.when(F.col("_anchor").isNotNull(), F.coalesce("_other", F.lit(""))))
+    return scored_once(x, "_other", "_own", {name: scorer}).withColumn(name, F.coalesce(name, F.lit(-1.0))).select("s1", "m", "p", name)

@@ -9,8 +9,10 @@ from samewise.functions import text as N
 from samewise.operators import decode as D
 from samewise.operators import features as X
 from samewise.operators import rules as U
-from samewise.plans.base import EXCL, LABELLED, SCORED, labelled, scored, train
-from samewise.plans.texts import _BIZ, _BIZ_TRAIN, _CK, _CLEAN, _CORE, _LEGAL, _SK, _TOK, biz, lcs_sql
+from samewise.functions import similarity as S
+from samewise.operators import windows as W
+from samewise.plans.base import EXCL, LABELLED, SCORED, labelled, s23, scored, train
+from samewise.plans.texts import _BIZ, _BIZ_TRAIN, _CK, _CLEAN, _CORE, _LEGAL, _PAIR, _SK, _TOK, RATIO_PAIRS, RATIO_SQL, biz, lcs_sql, pairs
 from samewise.session import staged
 
 QUERIES: dict = {}
@@ -29,7 +31,8 @@ def query(sql: str | None = None):
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = biz(spark, d)
-    return x.where("side = 1"), x.where("side = 2").dropDuplicates(["id"])
+    one = x.where("side = 2").groupBy("side", "id").agg(F.min(F.struct("country", "raw", "addr", "n", "a")).alias("r")).select("side", "id", "r.*")  # repeats of a record are alike
+    return x.where("side = 1"), one
 
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
@@ -39,25 +42,71 @@ def _joined(spark: SparkSession, d: str) -> DataFrame:
 
 _CL = f"{SCORED}, " + _BIZ[_BIZ.index("s23 AS") :]
 _CTOK = f"(CASE WHEN len({_CORE}) > 0 THEN {_CORE} ELSE {_TOK.format('n')} END)"
-_PARTS = f"""pt AS (SELECT side, id, n, a, {_LEGAL} AS legal, regexp_replace(n, '[^a-z0-9]', '', 'g') AS compact, CASE WHEN len({_CTOK}) >= 2 THEN array_to_string(list_transform({_CTOK}, lambda t: t[1:1]), '') ELSE '' END AS acr,
+_HOST = "replace(regexp_extract(lower(trim(raw)), '^(?:www\\.)?([a-z0-9-]+)\\.(?:com|in|net|org|co|biz|info|io|fr|us|example)\\b', 1), '-', ' ')"
+_PARTS = f"""pt AS (SELECT side, id, n, a, {_HOST} AS web, {_LEGAL} AS legal, regexp_replace(n, '[^a-z0-9]', '', 'g') AS compact, CASE WHEN len({_CTOK}) >= 2 THEN array_to_string(list_transform({_CTOK}, lambda t: t[1:1]), '') ELSE '' END AS acr,
     list_filter({_TOK.format('a')}, lambda t: regexp_matches(t, '[0-9]')) AS nums FROM cl), pn AS (SELECT *, nums[1] AS num, nullif(regexp_extract(nums[1], '^([0-9]{{1,9}})', 1), '')::DOUBLE AS v FROM pt)"""
 
 
 @query(f"""WITH {_CL}, {_PARTS} SELECT s.s1 AS q, s.m AS c, (x.acr <> '' AND x.acr = y.compact)::INTEGER::DOUBLE AS n_acr_a, (y.acr <> '' AND y.acr = x.compact)::INTEGER::DOUBLE AS n_acr_b, length(x.n)::DOUBLE AS n_len_a, length(y.n)::DOUBLE AS n_len_b,
     len(x.nums)::DOUBLE AS num_count_a, len(y.nums)::DOUBLE AS num_count_b, (x.legal = y.legal)::INTEGER::DOUBLE AS legal_eq, ((x.legal = '') <> (y.legal = ''))::INTEGER::DOUBLE AS legal_missing, (y.a = '')::INTEGER::DOUBLE AS b_addr_empty,
     CASE WHEN x.num IS NOT NULL AND y.num IS NOT NULL THEN (x.num = y.num)::INTEGER::DOUBLE ELSE -1 END AS num_first_eq, CASE WHEN x.num IS NOT NULL AND y.num IS NOT NULL THEN levenshtein(x.num, y.num)::DOUBLE ELSE -1 END AS num_first_lev,
+    length(x.a)::DOUBLE AS a_len_a, length(y.a)::DOUBLE AS a_len_b, (y.web <> '')::INTEGER::DOUBLE AS b_is_web, CASE WHEN x.num IS NOT NULL AND y.num IS NOT NULL THEN (length(y.num) - length(x.num))::DOUBLE ELSE -1 END AS num_first_lendiff,
     round(CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN ln(1 + abs(x.v - y.v)) ELSE -1 END, 6) AS num_first_absdiff, round(CASE WHEN x.v IS NOT NULL AND y.v IS NOT NULL THEN sign(y.v - x.v) * ln(1 + abs(y.v - x.v)) END, 6) AS num_first_signed
     FROM scored s JOIN pn x ON x.id = s.s1 JOIN pn y ON y.id = s.m""")
 def ft_plain(spark: SparkSession, d: str) -> DataFrame:
     x = X.plain_features(_joined(spark, d))
-    keep = ("n_acr_a", "n_acr_b", "n_len_a", "n_len_b", "num_count_a", "num_count_b", "legal_eq", "legal_missing", "b_addr_empty", "num_first_eq", "num_first_lev")
+    keep = ("n_acr_a", "n_acr_b", "n_len_a", "n_len_b", "num_count_a", "num_count_b", "legal_eq", "legal_missing", "b_addr_empty", "num_first_eq", "num_first_lev", "a_len_a", "a_len_b", "b_is_web", "num_first_lendiff")
     return x.select("q", "c", *keep, F.round("num_first_absdiff", 6).alias("num_first_absdiff"), F.round("num_first_signed", 6).alias("num_first_signed"))
 
 
 @query()
 def ft_similarities(spark: SparkSession, d: str) -> DataFrame:
     x = X.fuzzy_features(_joined(spark, d))
-    return x.select("q", "c", *[F.round(c, 4).alias(c) for c in ("n_ratio", "n_tset", "n_tsort", "n_partial", "n_jw", "n_clean_tset", "n_compact_ratio", "a_ratio", "a_tset", "a_tsort", "a_words_tset", "x_name_in_addr", "sim_mix")])
+    return x.select("q", "c", *[F.round(c, 4).alias(c) for c in ("n_ratio", "n_tset", "n_tsort", "n_partial", "n_jw", "n_clean_tset", "n_compact_ratio", "n_clean_ratio", "n_compact_partial", "n_alt_tset", "a_ratio", "a_tset", "a_partial", "a_tsort", "a_words_tset", "num_tset", "num_first_ratio", "x_name_in_addr", "sim_mix")])
+
+
+@query()
+def ft_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feature frame of the pair model: plain features, similarities, the overlaps of names and addresses by inverse document
+    frequencies."""
+    a, b = _sides(spark, d)
+    x = X.frame(scored(spark, d).select(F.col("s1").alias("q"), F.col("m").alias("c")), a, b)
+    return x.select("q", "c", *[F.round(c, 5).alias(c) for c in X.feature_columns(x)])
+
+
+def _global(spark: SparkSession, d: str, name: str, f) -> DataFrame:
+    return S.scored_once(pairs(spark, d), "a", "b", {name: f})
+
+
+_GN = f"{_PAIR}, {RATIO_PAIRS}, rs AS ({RATIO_SQL}), gn AS (SELECT s1, m, tset AS g FROM rs)"
+
+
+@query(f"""WITH RECURSIVE {_GN}, k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY g DESC, s1) AS rc, row_number() OVER (PARTITION BY s1 ORDER BY g DESC, m) AS rq FROM gn), t AS (SELECT *, max(g) OVER (PARTITION BY m) AS m1, coalesce(max(CASE WHEN rc = 2 THEN g END) OVER (PARTITION BY m), 0) AS m2 FROM k)
+    SELECT s1, m, round(g, 4) AS g_name, rc::BIGINT AS g_name_rank_c, rq::BIGINT AS g_name_rank_q, round(g - m1, 4) AS g_name_gap_c, count(*) FILTER (WHERE g >= 90) OVER (PARTITION BY m)::BIGINT AS twins_c, count(*) FILTER (WHERE g >= 90) OVER (PARTITION BY s1)::BIGINT AS twins_q, round(CASE WHEN g >= m1 THEN g - m2 ELSE g - m1 END, 4) AS g_name_margin_c FROM t""")
+def wn_global_names(spark: SparkSession, d: str) -> DataFrame:
+    """The likeness of names over all pairs, with ranks, twins and margins among a record's and a row's pairs."""
+    x = _global(spark, d, "g_name", S.token_set_ratio).select("s1", "m", F.round("g_name", 4).alias("g_name"))
+    x = W.global_context(x, "g_name", 90.0)
+    return x.select("s1", "m", "g_name", "g_name_rank_c", "g_name_rank_q", F.round("g_name_gap_c", 4).alias("g_name_gap_c"), F.col("twins_c"), F.col("twins_q"), F.round("g_name_margin_c", 4).alias("g_name_margin_c"))
+
+
+@query()
+def wn_global_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the likenesses of names and addresses over all pairs, and sim_mix, each with gap, rank and margin."""
+    x = X.fuzzy_features(_joined(spark, d)).select(F.col("q").alias("s1"), F.col("c").alias("m"), F.col("n_tset").alias("g_name"), F.col("a_tset").alias("g_addr"), "sim_mix")
+    x = x.withColumn("g_mix", (F.col("g_name") + F.least(F.greatest("g_addr", F.lit(0.0)), F.lit(100.0))) / 2)
+    x = W.global_context(staged(x, "global"), "g_mix", 90.0)
+    x = W.second_best(W.gap_and_rank(x, "sim_mix", "s1", "m", "q"), "sim_mix", "s1", "sim_mix_margin_q")
+    return x.select("s1", "m", *[F.round(c, 4).alias(c) for c in ("g_name", "g_addr", "g_mix", "g_mix_gap_c", "g_mix_margin_c", "sim_mix", "sim_mix_gap_q", "sim_mix_margin_q")], "g_mix_rank_c", "g_mix_rank_q", "sim_mix_rank_q")
+
+
+@query(f"""WITH RECURSIVE {_PAIR}, kk AS (SELECT s1, m, p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS k FROM scored), an AS (SELECT a.s1, a.m, CASE WHEN a.k = 1 THEN c.m ELSE b.m END AS anchor FROM kk a LEFT JOIN kk b ON b.s1 = a.s1 AND b.k = 1 LEFT JOIN kk c ON c.s1 = a.s1 AND c.k = 2),
+    nm AS (SELECT entity_id AS m, {_CLEAN.format('business_name')} AS nb FROM (SELECT entity_id, max(business_name) AS business_name FROM s23 GROUP BY 1)), pz AS (SELECT an.s1, an.m, coalesce(y.nb, '') AS a, coalesce(x.nb, '') AS b FROM an LEFT JOIN nm x ON x.m = an.m LEFT JOIN nm y ON y.m = an.anchor WHERE anchor IS NOT NULL), {RATIO_PAIRS.replace(' FROM pr)', ' FROM pz)')}, rs AS ({RATIO_SQL})
+    SELECT an.s1, an.m, coalesce(rs.tset, -1) AS tri_name FROM an LEFT JOIN rs ON rs.s1 = an.s1 AND rs.m = an.m""")
+def wn_triangle(spark: SparkSession, d: str) -> DataFrame:
+    """How like each candidate's name is that of its row's most likely other record."""
+    one = s23(spark, d).groupBy(F.col("entity_id").alias("m")).agg(N.clean(F.max("business_name")).alias("text"))
+    return W.triangle(scored(spark, d).select("s1", "m", "p"), one, S.token_set_ratio, "tri_name").select("s1", "m", F.round("tri_name", 4).alias("tri_name"))
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
@@ -263,10 +312,10 @@ def ru_handle_adds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_KNOWN}, {_WORD}, j AS (SELECT w.m, p.id AS s1, word, init, p.toks AS ta, tb, p.street AS x, w.street AS y FROM sw w JOIN ky p ON p.side = 1 AND p.hn = w.hn AND p.city = w.city WHERE w.city <> '' AND p.street <> ''), {lcs_sql('j')},
     r AS (SELECT j.*, 200.0 * lcs.n / (length(j.x) + length(j.y)) AS sr FROM j JOIN lcs ON lcs.x = j.x AND lcs.y = j.y), o AS (SELECT m FROM r WHERE sr >= 60 GROUP BY m HAVING count(*) = 1)
-    SELECT DISTINCT s1, m FROM r WHERE m IN (SELECT m FROM o) AND sr >= 70 AND sr < 100 AND ((length(word) BETWEEN 2 AND 5 AND contains(init, word)) OR (length(word) >= 5 AND len(list_intersect(ta, tb)) = 0))""")
+    SELECT DISTINCT s1, m FROM r WHERE m IN (SELECT m FROM o) AND sr >= 50 AND sr < 100 AND ((length(word) BETWEEN 2 AND 5 AND contains(init, word)) OR (length(word) >= 5 AND len(list_intersect(ta, tb)) = 0))""")
 def ru_fuzzy_street_adds(spark: SparkSession, d: str) -> DataFrame:
     _, pred, a, b = _compared(spark, d, True)
-    return U.fuzzy_street_adds(a, b, pred, 70)
+    return U.fuzzy_street_adds(a, b, pred, 50)
 
 
 @query(f"""WITH {_RULE}, low AS (SELECT s1, m FROM excl WHERE p >= 0.6), pl AS (SELECT *, count(*) OVER (PARTITION BY hn, street, city) AS tenants, count(*) OVER (PARTITION BY country, words) AS same FROM ky WHERE side = 1)
@@ -290,8 +339,8 @@ def ru_legal_tie(spark: SparkSession, d: str) -> DataFrame:
     return U.legal_tie(a, b, pred)
 
 
-@query(_tie_sql(_SOME, "r.addr <> '' AND r.hn IS NOT NULL", "TRUE", "ha = hb AND EXISTS (SELECT 1 FROM scored s WHERE s.s1 = o.s1 AND s.m = o.m AND s.p >= 0.3)").replace("WHERE p >= 0.4", "WHERE p >= 0.95"))
+@query(_tie_sql(_rule_sql("test", 1, 2.0), "r.addr <> '' AND r.hn IS NOT NULL", "TRUE", "ha = hb AND EXISTS (SELECT 1 FROM scored s WHERE s.s1 = o.s1 AND s.m = o.m AND s.p >= 0.5)"))
 def ru_legal_tie_addressed(spark: SparkSession, d: str) -> DataFrame:
-    """The same for records with an address, at the row's house number, where the pair's p is 0.3 or more."""
-    _, pred, a, b = _compared(spark, d, True, 0.95)
-    return U.legal_tie(a, b, pred, addressed=True, scored=labelled(spark, d), gate=0.3)
+    """The same for records with an address, at the row's house number, where the pair's p is 0.5 or more."""
+    _, pred, a, b = _compared(spark, d, False, 2.0)
+    return U.legal_tie(a, b, pred, addressed=True, scored=scored(spark, d))
