@@ -55,14 +55,25 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
+    if a in b:
+        return 100.0
     n, best = len(a), 0.0
-    letters = set(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << n) - 1
+    masks = [at.get(c, 0) for c in b]
     for i in range(1 - n, len(b)):
-        part = b[max(0, i) : i + n]
-        if part and (part[-1] in letters or part[0] in letters):
-            best = max(best, ratio(a, part))
-            if best == 100.0:
-                break
+        part = masks[max(0, i) : i + n]
+        if not part or not (part[-1] or part[0]):
+            continue
+        if 200.0 * sum(map(bool, part)) / (n + len(part)) <= best:
+            continue  # not even all its letters would do
+        s = full
+        for m in part:
+            u = s & m
+            s = ((s + u) | (s - u)) & full
+        best = max(best, 200.0 * (n - s.bit_count()) / (n + len(part)))
     return best
 
 

@@ -8,12 +8,11 @@ import re
 _FIRST, _LAST = 0x0900, 0x0D7F
 # Sounds by offset in a block.
 VOWELS = {0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "ri", 0x0E: "e", 0x0F: "e", 0x10: "ai", 0x12: "o", 0x13: "o", 0x14: "au"}
-CONSONANTS = dict(zip(range(0x15, 0x3A), "k kh g gh n ch chh z jh n t th d dh n t th d dh n n p f b bh m y r r l l l v sh sh s h".split()))
-CONSONANTS |= {0x1C: "j", 0x1D: "z"}
+CONSONANTS = dict(zip(range(0x15, 0x3A), "k kh g gh n ch chh j z n t th d dh n t th d dh n n p f b bh m y r r l l l v sh sh s h".split()))
 SIGNS = {0x3E: "a", 0x3F: "i", 0x40: "i", 0x41: "u", 0x42: "u", 0x43: "ri", 0x46: "e", 0x47: "e", 0x48: "ai", 0x4A: "o", 0x4B: "o", 0x4C: "au"}
 NASALS = {0x01: "n", 0x02: "n", 0x03: "h"}
 NUKTA, VIRAMA = 0x3C, 0x4D
-CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяії", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh sht a y - e yu ya i yi".replace("-", "'").split()))
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыэюяії", "a b v g d e e zh z i y k l m n o p r s t u f kh ts ch sh sht a y e yu ya i yi".split())) | {"ь": ""}
 
 _indic = re.compile("[ऀ-ൿ]+")
 _cyrillic = re.compile("[а-яёії]", re.I)
@@ -50,4 +49,4 @@ def _run(m: re.Match) -> str:
 def romanize(s: str) -> str:
     """s with its Indic and Cyrillic letters in Latin; other characters stay."""
     s = _indic.sub(_run, s)
-    return _cyrillic.sub(lambda m: CYRILLIC[m[0].lower()].replace("'", ""), s)
+    return _cyrillic.sub(lambda m: CYRILLIC[m[0].lower()], s)

@@ -61,6 +61,36 @@ def fuzzy_features(x: DataFrame) -> DataFrame:
     }).drop("_na", "_nb").withColumn("sim_mix", (F.col("n_tset") + F.col("a_tset")) / 2)
 
 
+def route_features(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs (s1, m, …) with the features that compile, for scorers of routes: shares of common words, edits, equal numbers, postcodes,
+    legal forms and run-together names, initials, lengths, empty addresses. -1 stands for not applicable. a, b: (id, raw, n, a)."""
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        t, at = N.tokens(F.col("n")), N.tokens(F.col("a"))
+        parts = {
+            "id": F.col("id"), "n": F.col("n"), "a": F.col("a"), "t": F.array_distinct(t), "at": F.array_distinct(F.filter(at, lambda w: ~w.rlike("[0-9]"))), "hn": F.filter(at, lambda w: w.rlike("^[0-9]{1,4}[a-z]?$")),
+            "pc": F.filter(at, lambda w: w.rlike("^[0-9]{5,6}$")), "legal": N.legal(t), "cmp": N.compact(F.col("n")), "init": F.array_join(F.transform(t, lambda w: F.substring(w, 1, 1)), ""), "web": N.compact(N.web_host(F.col("raw"))),
+        }
+        return df.select(*[c.alias(f"{k}_{x}") for k, c in parts.items()])
+
+    x = pairs.join(side(a, "a"), F.col("s1") == F.col("id_a")).join(side(b, "b"), F.col("m") == F.col("id_b"))
+
+    def share(p: str, q: str):
+        u = F.size(F.array_union(p, q))
+        return F.when(u > 0, F.size(F.array_intersect(p, q)) / u).otherwise(-1.0)
+
+    flag = lambda c: c.cast("double")
+    both = lambda p: (F.size(f"{p}_a") > 0) & (F.size(f"{p}_b") > 0)
+    like = 1 - F.levenshtein("n_a", "n_b") / F.greatest(F.length("n_a"), F.length("n_b"), F.lit(1))
+    x = x.withColumns({
+        "n_jac": share("t_a", "t_b"), "a_jac": share("at_a", "at_b"), "n_like": like.cast("double"), "a_like": (1 - F.levenshtein("a_a", "a_b") / F.greatest(F.length("a_a"), F.length("a_b"), F.lit(1))).cast("double"),
+        "hn_eq": F.when(both("hn"), flag(F.arrays_overlap("hn_a", "hn_b"))).otherwise(-1.0), "pin_eq": F.when(both("pc"), flag(F.arrays_overlap("pc_a", "pc_b"))).otherwise(-1.0),
+        "legal_eq": F.when((F.col("legal_a") != "") & (F.col("legal_b") != ""), flag(F.col("legal_a") == F.col("legal_b"))).otherwise(-1.0), "cmp_eq": flag(F.col("cmp_a") == F.col("cmp_b")), "web_eq": F.when(F.col("web_b") != "", flag(F.col("cmp_a") == F.col("web_b"))).otherwise(-1.0),
+        "init_in": flag((F.length("cmp_b") <= 6) & (F.length("cmp_b") >= 2) & F.contains("init_a", "cmp_b")), "a_empty": flag(F.col("a_a") == ""), "b_empty": flag(F.col("a_b") == ""), "n_len_a": flag(F.length("n_a")), "n_len_b": flag(F.length("n_b")),
+    })
+    return x.drop(*[f"{k}_{s}" for k in ("id", "n", "a", "t", "at", "hn", "pc", "legal", "cmp", "init", "web") for s in "ab"])
+
+
 def frame(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """pairs (q, c, …) with all features of both texts: plain ones, similarities, and the overlaps of the words of names and of
     addresses by inverse document frequencies. a, b: (id, raw, n, a)."""

@@ -20,11 +20,15 @@ from samewise.operators.decode import bucket
 from samewise.operators.windows import gap_and_rank, second_best, with_group
 
 
-def fit_trees(train: DataFrame, features: list[str], label: str = "y", weight: str | None = None, rounds: int = 20, depth: int = 4, seed: int = 7) -> PipelineModel:
-    """Boosted trees on numeric features; missing values are -1."""
+def fit_trees(train: DataFrame, features: list[str], label: str = "y", weight: str | None = None, rounds: int = 20, depth: int = 4, seed: int = 7, held: str | None = None, tolerance: float = 0.01) -> PipelineModel:
+    """Boosted trees on numeric features; missing values are -1. held: a boolean column whose rows aren't learnt from but stop the rounds
+    once they no longer gain by tolerance."""
     gbt = GBTClassifier(featuresCol="x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed, cacheNodeIds=False)
     if weight:
         gbt = gbt.setWeightCol(weight)
+    if held:
+        gbt = gbt.setValidationIndicatorCol(held)
+        gbt.set(gbt.validationTol, tolerance)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(train.na.fill(-1.0, features).withColumn(label, F.col(label).cast("double")))
 
 
@@ -47,19 +51,46 @@ def score_context(df: DataFrame, p: str = "p1") -> DataFrame:
     return x.withColumns({c: F.col(c).cast("double") for c in ints})
 
 
-def two_stage(pairs: DataFrame, features: list[str], slices: int = 10, swap: bool = False, top: int = 15, least: float = 0.005) -> DataFrame:
-    """s1, m, y, p of the held-out tenth of s1. Stage one learns on one half of the rest and scores all pairs; their context and the
-    score join the features of stage two, which learns on the other half, on pairs within the top ranks and above least."""
+def two_stage(pairs: DataFrame, features: list[str], slices: int = 10, swap: bool = False, top: int = 15, least: float = 0.005, others: DataFrame | None = None) -> DataFrame:
+    """s1, m, y, p of the held-out tenth of s1, or of others (s1, m, features), all of whose pairs come back. Stage one learns on one half
+    of the rest and scores all pairs; their context and the score join the features of stage two, which learns on the other half, on
+    pairs within the top ranks and above least. A pair outside of these keeps the score of stage one."""
     x = pairs.withColumn("_b", bucket(F.col("s1"), "slice", slices))
     half = slices // 2
     a, b = (F.col("_b") < half), (F.col("_b") >= half) & (F.col("_b") < slices - 1)
     first, second = (b, a) if swap else (a, b)
     one = fit_trees(x.where(first), features)
-    scored = score_context(predict(one, x, features, "p1"))
+    stage = lambda df: score_context(predict(one, df, features, "p1"))
+    scored = stage(x)
     more = features + [c for c in scored.columns if c.startswith("p1")]
-    kept = scored.where((F.col("p1_rank_q") <= top) & (F.col("p1") >= least))
-    two = fit_trees(kept.where(second), more)
-    return predict(two, kept.where(F.col("_b") == slices - 1), more).select("s1", "m", "y", "p")
+    within = (F.col("p1_rank_q") <= top) & (F.col("p1") >= least)
+    two = fit_trees(scored.where(within).where(second), more)
+    if others is None:
+        return predict(two, scored.where(within & (F.col("_b") == slices - 1)), more).select("s1", "m", "y", "p")
+    given = stage(others)
+    rest = given.where(~within).select("s1", "m", F.lit(None).cast("int").alias("y"), F.col("p1").alias("p"))
+    return predict(two, given.where(within), more).select("s1", "m", F.lit(None).cast("int").alias("y"), "p").unionByName(rest)
+
+
+def mean_of_folds(pairs: DataFrame, features: list[str], others: DataFrame, folds: int = 2) -> DataFrame:
+    """others with p: the mean over models that each leave out one fold of the s1 of pairs."""
+    x = pairs.withColumn("_fold", bucket(F.col("s1"), "fold", folds))
+    out = others
+    for f in range(folds):
+        out = predict(fit_trees(x.where(F.col("_fold") != f), features), out, features, f"_p{f}")
+    return out.withColumn("p", sum(F.col(f"_p{f}") for f in range(folds)) / folds).drop(*[f"_p{f}" for f in range(folds)])
+
+
+def pair_file(pairs: DataFrame, text_a: str, text_b: str, near: int = 5, far: int = 10, share: int = 35) -> DataFrame:
+    """s1, m, text_a, text_b, y, part: examples for a pair model: all matches, the others within the near best ranks, and share percent
+    of those up to far, by a stable bucket; part: val for a twentieth of the s1, test for another, else train. pairs: with p and y."""
+    from samewise.operators.windows import ordered
+
+    k = ordered(pairs.select("s1", "m", "p", "y", text_a, text_b), ["s1"], [F.desc("p"), F.asc("m")], "_k")
+    some = F.col("_k").between(near + 1, far) & (bucket(F.concat("s1", "m"), "pair", 100) < share)
+    b = bucket(F.col("s1"), "band", 20)
+    part = F.when(b == 0, "val").when(b == 1, "test").otherwise("train")
+    return k.where((F.col("y") == 1) | (F.col("_k") <= near) | some).select("s1", "m", F.col(text_a).alias("text_a"), F.col(text_b).alias("text_b"), "y", part.alias("part"))
 
 
 def out_of_fold(pairs: DataFrame, features: list[str], folds: int = 2) -> DataFrame:

@@ -35,6 +35,26 @@ def tfidf(queries: DataFrame, docs: DataFrame, max_df: float = 1.0, min_df: int
     return weigh(q), weigh(d)
 
 
+def fitted(docs: DataFrame, max_df: float = 1.0, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The weights of docs as in tfidf, with n and df of docs alone, and their (country, token, idf), by which `weighed` takes queries that
+    come later: what a query weighs doesn't depend on other queries."""
+    d = terms(docs)
+    n = docs.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    df = d.groupBy("country", "token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n), "country")  # one row a country
+    idf = df.where((F.col("df") >= min_df) & (F.col("df") <= F.greatest(max_df * F.col("n"), F.lit(1.0)))).select("country", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _unit(d.join(idf, ["country", "token"])), idf
+
+
+def weighed(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    return _unit(terms(queries).join(idf, ["country", "token"]))
+
+
+def _unit(t: DataFrame) -> DataFrame:
+    w = t.select("id", "country", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return w.join(norm, "id").select("id", "country", "token", (F.col("w") / F.col("norm")).alias("w"))
+
+
 def two_spaces(queries: DataFrame, docs: DataFrame, first: str, second: str, weight: float = 0.6, max_df: float = 0.02, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
     """The TF-IDF weights of two token columns side by side, so that an inner product is weight times the first's and 1 - weight times
     the second's. Both are fitted on docs; max_df and min_df hold for the second."""

@@ -340,6 +340,22 @@ def cd_drop_rows(spark: SparkSession, d: str) -> DataFrame:
     return x.join(gone, "s1", "left_anti").select("s1", "m", r("p"))
 
 
+@query(f"WITH {SCORED}, k AS (SELECT s1, m, p, count(*) OVER (PARTITION BY m)::BIGINT AS n_cand_c, round(p - max(p) OVER (PARTITION BY m), 6) AS p_gap_c FROM scored) SELECT s1, m, n_cand_c, p_gap_c FROM k WHERE {sql_bucket('s1', 'drop', 100)} >= 15")
+def cd_context_then_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The context of a record's candidates over all rows, and only then the rows that are kept."""
+    x = W.with_group(scored(spark, d).select("s1", "m", "p"), "m", n_cand_c=F.count(F.lit(1)), _best=F.max("p"))
+    keep = x.select("s1").distinct().where(D.bucket(F.col("s1"), "drop", 100) >= 15)
+    return x.join(keep, "s1", "left_semi").select("s1", "m", "n_cand_c", F.round(F.col("p") - F.col("_best"), 6).alias("p_gap_c"))
+
+
+@query(f"WITH {LABELLED} SELECT s1, m, round(p, 6) AS p, FALSE AS copied FROM scored UNION ALL SELECT s1, 'copy of ' || m AS m, round(p, 6) AS p, TRUE AS copied FROM scored WHERE p >= 0.5 AND m NOT IN (SELECT m FROM truth)")
+def cd_decoys(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with copies of records that belong to no row but lie near one, as further wrong candidates of it."""
+    x = labelled(spark, d).select("s1", "m", "p")
+    free = x.where("p >= 0.5").join(truth(spark, d).select("m").distinct(), "m", "left_anti")
+    return x.withColumn("copied", F.lit(False)).unionByName(free.select("s1", F.concat(F.lit("copy of "), "m").alias("m"), "p", F.lit(True).alias("copied"))).select("s1", "m", r("p"), "copied")
+
+
 @query(f"WITH {SCORED} SELECT s1, m, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, m) AS k FROM scored) WHERE k <= 3 AND p >= 0.05")
 def cd_stage_filter(spark: SparkSession, d: str) -> DataFrame:
     return W.ordered(scored(spark, d), ["s1"], [F.desc("p"), F.asc("m")], "k").where("k <= 3 and p >= 0.05").select("s1", "m", r("p"))

@@ -43,12 +43,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where the setting is absent (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where the setting is absent, a temporary one for a local master,
+    whose executors are this process; a cluster must name one."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir", None)
     if not there and sc.getCheckpointDir():
         there = sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="samewise-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)
@@ -62,8 +65,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, under a folder of this application."""
+    return f"{shared_dir(spark).rstrip('/')}/samewise-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged. Results read from it must have been written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/samewise-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
