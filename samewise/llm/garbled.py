@@ -3,8 +3,11 @@
 A stretch (sentence or line) has a latent encoding chain: none, or "written in A, read as B". What a chain explains is judged by a
 model of characters between their neighbours, fitted to the corpus itself. Expectation-maximization alternates: the chains'
 posteriors of every stretch, from the model, the shares of the chains in its source and field (quoted or own text) and the other
-stretches of its record; then shares and model anew from the posteriors, so that weak evidence is pooled over all records. Text
-that was garbled twice is repaired twice.
+stretches of its record; then shares and model anew from the posteriors, so that weak evidence is pooled over all records, until
+the shares stand still. Text that was garbled twice is repaired twice.
+
+The corpus is read once for this: what remains of a text are the runs of characters beyond ASCII with their neighbours' classes,
+alike ones of a source counted together; the rounds go over these counts. Plain ASCII texts never reach the judging pass.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.session import staged, table
+from samewise.session import staged, table, width
 
 #: Charsets that UTF-8 text is read as, and pairs of single-byte charsets (written in, read as).
 UTF8_READ_AS = ("cp1252", "latin1", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8_r", "cp1250", "cp1253", "iso8859_15")
@@ -32,14 +35,19 @@ CHAINS = (*(f"utf8>{c}" for c in UTF8_READ_AS), *(f"utf8>{c}" for c in MULTI), *
 _CYRILLIC = ("cp1251>", "koi8_r>")
 _PRIOR = 1e-3  # of each chain, before any record was seen
 _TEMPER = 0.5  # neighbours on both sides tell of the same character
-_ROUNDS = 3
-_LEVELS = 3
+#: The rounds end when no chain's share of all stretches moves by more than CLOSE, a tenth of the share a chain has to begin with.
+CLOSE, _ROUNDS = _PRIOR / 10, 50
+_LEAST_GAIN = -12.0  # a chain that makes a stretch e^12 times less likely has a posterior below 1e-5 whatever its share
+_STRETCH, _PART, _FIELD = "\x1e", "\x1f", "\x1d"
 
 _run = re.compile(r"[^\x00-\x7f]+")
 #: Entities of characters beyond ASCII, other than spaces: garbled text may have been escaped after it was garbled.
 _entity = re.compile(r"&(?!nbsp;|ensp;|emsp;|thinsp;)([A-Za-z]{2,8}\d{0,2});")
 _stretch = re.compile(r"[^\n<\[]*?(?:[.!?…]+[\s]+|\n|(?=[<\[])|$)|[<\[]", re.S)
-_quoted = re.compile(r"^\s*>|\[quote|<blockquote", re.M)
+_quoted_line = re.compile(r"^[ \t]*>.*$", re.M)
+_quote = re.compile(r"(\[quote|<blockquote)|(\[/quote\]|</blockquote>)", re.I)
+#: What a text needs to be looked at by the judging pass, for Spark's regular expressions.
+SUSPECT = r"[^\x00-\x7f]|&[A-Za-z]{2,8}[0-9]{0,2};"
 
 
 def _table(charset: str) -> dict[str, int]:
@@ -129,8 +137,14 @@ class Model:
             if side == "l":
                 self.share[x] += n
         self.memo: dict = {}
+        self.seen: dict[tuple[str, str, str], float] = {}
 
     def one(self, side: str, k: str, x: str) -> float:
+        if (got := self.seen.get((side, k, x))) is None:
+            got = self.seen[side, k, x] = self._one(side, k, x)
+        return got
+
+    def _one(self, side: str, k: str, x: str) -> float:
         base = (self.share.get(x, 0.0) + 0.02) / (self.total + 1)
         return math.log((self.pairs.get((side, k, x), 0.0) + 20 * base) / (self.kinds.get(k, 0.0) + 20))
 
@@ -152,24 +166,37 @@ class Model:
         if key not in self.memo:
             if len(self.memo) > 1 << 18:
                 self.memo.clear()
-            out, plain, seen = [], None, {}
-            for j, chain in enumerate(CHAINS):
-                if chain == LOST:
-                    if "�" in run:
-                        out.append((j, 60.0, run))
+            plain, seen, out = None, {}, []
+            for j, fixed in changes(run):
+                if CHAINS[j] == LOST:
+                    out.append((j, 60.0, run))
                     continue
-                fixed = _inverse(chain)(run)
-                if chain.startswith(_CYRILLIC) and not any("Ѐ" <= c <= "ӿ" for c in fixed):
-                    continue  # who writes in a Cyrillic charset writes Cyrillic letters
-                if fixed != run and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in fixed if c not in run):
-                    plain = self.score(left, run, right) if plain is None else plain
-                    if fixed not in seen:
-                        seen[fixed] = self.score(left, fixed, right) - plain
-                    out.append((j, seen[fixed], fixed))
+                plain = self.score(left, run, right) if plain is None else plain
+                if fixed not in seen:
+                    seen[fixed] = self.score(left, fixed, right) - plain
+                out.append((j, seen[fixed], fixed))
             self.memo[key] = out
         return self.memo[key]
 
 
+@lru_cache(1 << 17)
+def changes(run: str) -> tuple[tuple[int, str], ...]:
+    """Of each chain that changes run and can have made it, its number and the repaired run. No model is needed for that, so a worker
+    keeps them from round to round."""
+    out = []
+    for j, chain in enumerate(CHAINS):
+        if chain == LOST:
+            if "\ufffd" in run:
+                out.append((j, run))
+            continue
+        fixed = _inverse(chain)(run)
+        if chain.startswith(_CYRILLIC) and not any("Ѐ" <= c <= "ӿ" for c in fixed):
+            continue  # who writes in a Cyrillic charset writes Cyrillic letters
+        if fixed != run and not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in fixed if c not in run):
+            out.append((j, fixed))
+    return tuple(out)
+
+
 def unescape(t: str) -> str:
     """Named entities beyond ASCII as characters."""
     return _entity.sub(lambda m: c if (c := html.unescape(m[0])) and not c.isascii() else m[0], t) if "&" in t else t
@@ -180,11 +207,39 @@ def stretches(t: str) -> list[str]:
     return [m[0] for m in _stretch.finditer(t) if m[0]] if t else []
 
 
+def quoted(t: str, parts: list[str]) -> list[bool]:
+    """Of each stretch of t whether it begins in a quotation: a line after >, or between the tags of one, however nested."""
+    spans = [m.span() for m in _quoted_line.finditer(t)]
+    depth = start = 0
+    for m in _quote.finditer(t):
+        if m[1]:
+            start, depth = (m.start() if not depth else start), depth + 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                spans.append((start, m.start()))
+    if depth:
+        spans.append((start, len(t)))
+    if not spans:
+        return [False] * len(parts)
+    out, at, k = [], 0, 0
+    spans.sort()
+    for s in parts:
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        out.append(any(lo <= at < hi for lo, hi in spans[k : k + 2]))
+        at += len(s)
+    return out
+
+
 def _runs(s: str) -> list[tuple[str, str, str]]:
     return [(kind(s[m.start() - 1]) if m.start() else " ", m[0], kind(s[m.end()]) if m.end() < len(s) else " ") for m in _run.finditer(s)]
 
 
-def posteriors(parts: list[list[tuple[str, str, str]]], model: Model, prior: list[float]) -> list[dict[int, float]]:
+Priors = tuple[list[float], list[float]]  # of own and of quoted text
+
+
+def posteriors(parts: list[list[tuple[str, str, str]]], fields: list[bool], model: Model, priors: Priors) -> list[dict[int, float]]:
     """Of each stretch (its runs), the posterior of each chain with weight. A second pass lets the record's stretches share their
     chains: one that stands in the record is likelier in its other stretches."""
     gains = []
@@ -194,19 +249,26 @@ def posteriors(parts: list[list[tuple[str, str, str]]], model: Model, prior: lis
             for j, gain, _ in model.gains(*r):
                 g[j] += gain
         gains.append(g)
-    own, out = dict(enumerate(prior)), []
+    n = sum(1 for g in gains if g) + 3
+    gains = [{j: x for j, x in g.items() if x > _LEAST_GAIN} for g in gains]
+    if not any(gains):
+        return [{}] * len(parts)
+    own, out = priors, []
     for _ in range(2):
         out, mass = [], Counter()
-        for g in gains:
-            w = {j: math.log(own[j]) + x for j, x in g.items()}
+        for g, f in zip(gains, fields):
+            if not g:
+                out.append({})
+                continue
+            w = {j: math.log(own[f][j]) + x for j, x in g.items()}
             top = max([0.0, *w.values()])
             z = math.exp(-top) + sum(math.exp(x - top) for x in w.values())
             p = {j: math.exp(x - top) / z for j, x in w.items()}
             out.append({j: x for j, x in p.items() if x > 1e-3})
             for j, x in p.items():
                 mass[j] += x
-        n = sum(1 for g in gains if g) or 1
-        own = {j: (prior[j] + mass[j] / (n + 3)) / (1 + sum(mass.values()) / (n + 3)) for j in own}
+        every = 1 + sum(mass.values()) / n
+        own = tuple([(prior[j] + mass[j] / n) / every for j in range(len(prior))] for prior in priors)
     return out
 
 
@@ -221,18 +283,17 @@ def repair_runs(s: str, j: int, model: Model) -> str:
     return _run.sub(one, s)
 
 
-def restore(text: str, model: Model, prior: list[float], quoted_prior: list[float]) -> tuple[str, float, list[str]]:
-    """The repaired text, the probability that some stretch of text is garbled, and the chains undone, outermost first."""
-    t, clean, chains = unescape(text), 1.0, []
+def restore(text: str, model: Model, priors: Priors) -> tuple[str, float, list[str]]:
+    """The repaired text, the probability that some stretch of text is garbled, and the chains undone, outermost first. Repairs go on
+    while there are any: each makes the text likelier, so they end."""
+    t, clean, chains, first = unescape(text), 1.0, [], True
     escaped = t != text
-    if t.isascii():
-        return text, 0.0, []
-    for level in range(_LEVELS):
+    while not t.isascii():
         parts = stretches(t)
-        post = posteriors([_runs(s) for s in parts], model, quoted_prior if _quoted.search(t) else prior)
+        post = posteriors([_runs(s) for s in parts], quoted(t, parts), model, priors)
         new, now = [], []
         for s, p in zip(parts, post):
-            if level == 0:
+            if first:
                 clean *= max(0.0, 1 - sum(p.values()))
             j = max(p, key=p.get, default=None)
             if j is None or p[j] <= 1 - sum(p.values()):
@@ -240,6 +301,7 @@ def restore(text: str, model: Model, prior: list[float], quoted_prior: list[floa
                 continue
             now.append(CHAINS[j])
             new.append(repair_runs(s, j, model))
+        first = False
         chains += list(dict.fromkeys(now))
         if (done := "".join(new)) == t:
             break
@@ -250,65 +312,116 @@ def restore(text: str, model: Model, prior: list[float], quoted_prior: list[floa
 _NO_GAIN = [_PRIOR] * len(CHAINS)
 
 
-def _counts(texts: Iterator[tuple[str, str]], model: Model | None, priors: dict[str, list[float]]) -> Counter:
-    """Expected counts of (side, class, character), of classes, and of chains by source and field."""
+def signature(t: str) -> str:
+    """The stretches of t that have runs, each with its field and its runs between their neighbours' classes, as one string."""
+    parts = stretches(t)
+    out = []
+    for s, q in zip(parts, quoted(t, parts)):
+        if runs := _runs(s):
+            out.append(("q" if q else "o") + _PART.join(x for r in runs for x in r))
+    return _STRETCH.join(out)
+
+
+def _read(sig: str) -> tuple[list[list[tuple[str, str, str]]], list[bool]]:
+    parts, fields = [], []
+    for s in sig.split(_STRETCH):
+        x = s[1:].split(_PART)
+        parts.append([(x[i], x[i + 1], x[i + 2]) for i in range(0, len(x), 3)])
+        fields.append(s[0] == "q")
+    return parts, fields
+
+
+def _expected(rows: Iterator[tuple[str, str, float, Priors]], model: Model | None) -> Counter:
+    """Expected counts of (side, class, character), and of stretches and chains by source and field, from signatures with their numbers."""
     n: Counter = Counter()
-    for source, raw in texts:
-        t = unescape(raw)
-        # classes of all characters, by counting each character once
-        for c, k in Counter(t).items():
-            n["k", kind(c), ""] += k
-        if t.isascii():
-            continue
-        name = f"{source}|{'quoted' if _quoted.search(t) else 'own'}"
-        parts = [_runs(s) for s in stretches(t)]
-        post = posteriors(parts, model, priors.get(name, _NO_GAIN)) if model else [{}] * len(parts)
-        for runs, p in zip(parts, post):
-            if runs:
-                n["n", name, ""] += 1
+    for source, sig, k, priors in rows:
+        parts, fields = _read(sig)
+        post = posteriors(parts, fields, model, priors) if model else [{}] * len(parts)
+        for runs, q, p in zip(parts, fields, post):
+            name = source + _FIELD + ("q" if q else "o")
+            n["n", name, ""] += k
             for j, x in p.items():
-                n["c", name, str(j)] += x
+                n["c", name, str(j)] += k * x
+            rest = 1 - sum(p.values())
             for left, run, right in runs:
                 fixed = {j: f for j, _, f in model.gains(left, run, right)} if p else {}
-                for weight, text in [(1 - sum(p.values()), run), *((x, fixed[j]) for j, x in p.items() if j in fixed and CHAINS[j] != LOST)]:
+                for weight, text in [(rest, run), *((x, fixed[j]) for j, x in p.items() if j in fixed and CHAINS[j] != LOST)]:
                     if weight < 1e-3:
                         continue
                     before = left
                     for i, c in enumerate(text):
                         if not c.isascii():
-                            n["l", before, symbol(c)] += weight
-                            n["r", kind(text[i + 1]) if i + 1 < len(text) else right, symbol(c)] += weight
+                            n["l", before, symbol(c)] += k * weight
+                            n["r", kind(text[i + 1]) if i + 1 < len(text) else right, symbol(c)] += k * weight
                         before = kind(c)
     return n
 
 
-def fit(df: DataFrame, text: str, source: str, rounds: int = _ROUNDS) -> tuple[Model, dict[str, list[float]]]:
-    """The character model and, by source and field, the chains' shares, from all rows of df.
+def gathered(rows: DataFrame) -> DataFrame:
+    """(what, source, sig, n) of rows (text, source): how often each class of character occurs (what k, sig the class), and each signature
+    in each source (what s). The corpus is read once; equal ones are added up before the shuffle."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: Counter = Counter()
+            chars: Counter = Counter()
+            for source, raw in zip(pdf["source"], pdf["text"]):
+                t = unescape(raw)
+                chars.update(t)
+                if not t.isascii() and (sig := signature(t)):
+                    n["s", source, sig] += 1
+            for c, k in chars.items():
+                n["k", "", kind(c)] += k
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["what", "source", "sig", "n"]).astype({"n": "int64"})
+
+    return rows.mapInPandas(read, "what string, source string, sig string, n long").groupBy("what", "source", "sig").agg(F.sum("n").alias("n"))
+
+
+def fit(df: DataFrame, text: str, source: str, rounds: int = _ROUNDS, close: float = CLOSE) -> tuple[Model, DataFrame]:
+    """The character model and (source, own, quoted), the chains' shares by source and field, from all rows of df, by rounds until no
+    chain's overall share moves by more than close.
 
     What comes to the driver are sums over the corpus by class and symbol (below 100 classes and 5,500 symbols, so at most some
-    10^6 pairs, in practice some 10^4, however large the corpus) and by source and chain.
+    10^6 pairs, in practice some 10^4, however large the corpus) and by chain. What is known of each source stays in a table.
     """
+    spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    model, priors = None, {}
+    all_ = staged(gathered(rows).repartition(width(spark)), "signatures")  # small, and every round's work: spread evenly
+    kinds = {r["sig"]: float(r["n"]) for r in all_.where("what = 'k'").select("sig", "n").collect()}  # below 100 classes
+    sigs = all_.where("what = 's'").select("source", "sig", F.col("n").cast("double").alias("n"))
+    model, priors, shares = None, None, None
+    chain = list(range(len(CHAINS)))
     for _ in range(rounds + 1):
-        m, p = model, priors
+        held = spark.sparkContext.broadcast(model)
+        with_priors = sigs.withColumns({"own": F.lit(None).cast("array<double>"), "quoted": F.lit(None).cast("array<double>")}) if priors is None else sigs.join(priors, "source", "left")
 
-        def count(batches: Iterator[pd.DataFrame], m=m, p=p) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            m = held.value
             for pdf in batches:
-                n = _counts(zip(pdf["source"], pdf["text"]), m, p)
+                own = [_NO_GAIN if x is None else list(x) for x in pdf["own"]]
+                quoted_ = [_NO_GAIN if x is None else list(x) for x in pdf["quoted"]]
+                n = _expected(zip(pdf["source"], pdf["sig"], pdf["n"], zip(own, quoted_)), m)
                 yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["what", "a", "x", "n"]).astype({"n": float})
 
-        sums = rows.mapInPandas(count, "what string, a string, x string, n double").groupBy("what", "a", "x").agg(F.sum("n").alias("n"))
-        got = sums.toPandas().sort_values(["what", "a", "x"])
-        pairs = {(w, a, x): n for w, a, x, n in got.itertuples(index=False) if w in "lr"}
-        kinds = {a: n for w, a, _, n in got.itertuples(index=False) if w == "k"}
-        seen = {a: n for w, a, _, n in got.itertuples(index=False) if w == "n"}
-        chains = {(a, int(x)): n for w, a, x, n in got.itertuples(index=False) if w == "c"}
-        if model:
-            every = sum(seen.values()) or 1.0
-            overall = [(sum(n for (_, i), n in chains.items() if i == j) + _PRIOR) / (every + 1) for j in range(len(CHAINS))]
-            priors = {a: [max(1e-6, (chains.get((a, j), 0.0) + 50 * overall[j]) / (n + 50)) for j in range(len(CHAINS))] for a, n in seen.items()}
+        sums = with_priors.mapInPandas(count, "what string, a string, x string, n double").groupBy("what", "a", "x").agg(F.sum("n").alias("n"))
+        sums = staged(sums, "sums")
+        got = sums.where("what in ('l', 'r')").toPandas().sort_values(["what", "a", "x"])  # bounded, see above
+        pairs = dict(zip(zip(got["what"], got["a"], got["x"]), got["n"].tolist()))
+        if model is not None:
+            every = (sums.where("what = 'n'").agg(F.sum("n")).first()[0] or 0.0) or 1.0
+            got = {int(r["x"]): r["n"] for r in sums.where("what = 'c'").groupBy("x").agg(F.sum("n").alias("n")).collect()}  # one row a chain
+            now = [(got.get(j, 0.0) + _PRIOR) / (every + 1) for j in chain]
+            by = sums.where("what in ('n', 'c')").groupBy("a").agg(F.sum(F.when(F.col("what") == "n", F.col("n"))).alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("what") == "c", F.struct("x", "n")))).alias("c"))  # chains of one source and field
+            p = F.array(*[F.greatest(F.lit(1e-6), (F.coalesce(F.col("c")[str(j)], F.lit(0.0)) + 50 * now[j]) / (F.col("n") + 50)) for j in chain])
+            by = by.select(F.substring_index("a", _FIELD, 1).alias("source"), F.substring_index("a", _FIELD, -1).alias("field"), p.alias("p"))
+            priors = staged(by.groupBy("source").agg(F.max(F.when(F.col("field") == "o", F.col("p"))).alias("own"), F.max(F.when(F.col("field") == "q", F.col("p"))).alias("quoted")), "priors")
+            still = shares is not None and max(abs(x - y) for x, y in zip(now, shares)) <= close
+            shares = now
         model = Model(pairs, kinds)
+        if priors is not None and still:
+            break
+    if priors is None:
+        priors = spark.createDataFrame([], "source string, own array<double>, quoted array<double>")
     return model, priors
 
 
@@ -319,23 +432,23 @@ def repair(df: DataFrame, ident: str, text: str, source: str, least: float = 0.5
     Null and empty texts aren't garbled and come back as they are; a lost character (U+FFFD) always counts as garbled. Rows are
     judged one by one with a model of all rows, so repeated rows get equal results.
     """
-    rows = staged(df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").cast("string").alias("source")), "texts")
+    rows = staged(df.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source")), "texts")
     model, priors = fit(rows, "text", "source")
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, t, s in zip(pdf["id"], pdf["text"], pdf["source"]):
-                if not isinstance(t, str):
-                    out.append((i, False, 0.0, "", None, True))
-                    continue
-                s = s if isinstance(s, str) else ""
-                new, p, chains = restore(t, model, priors.get(f"{s}|own", _NO_GAIN), priors.get(f"{s}|quoted", _NO_GAIN))
-                out.append((i, p > least, p, " ".join(chains), new if p > least else t, "�" not in new))
+            for i, t, own, quoted_ in zip(pdf["id"], pdf["text"], pdf["own"], pdf["quoted"]):
+                new, p, chains = restore(t, held.value, (_NO_GAIN if own is None else list(own), _NO_GAIN if quoted_ is None else list(quoted_)))
+                out.append((i, p > least, p, " ".join(chains), new if p > least else t, "\ufffd" not in new))
             yield pd.DataFrame(out, columns=[ident, "garbled", "probability", "chains", "restored", "whole"])
 
     kind_ = dict(df.dtypes)[ident]
-    return rows.mapInPandas(judge, f"`{ident}` {kind_}, garbled boolean, probability double, chains string, restored string, whole boolean")
+    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
+    judged = rows.where(suspect).join(priors, "source", "left").select("id", "text", "own", "quoted").mapInPandas(judge, f"`{ident}` {kind_}, garbled boolean, probability double, chains string, restored string, whole boolean")
+    plain = rows.where(~suspect).select(F.col("id").alias(ident), F.lit(False).alias("garbled"), F.lit(0.0).alias("probability"), F.lit("").alias("chains"), F.col("text").alias("restored"), F.lit(True).alias("whole"))
+    return judged.unionByName(plain)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

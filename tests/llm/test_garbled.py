@@ -45,3 +45,34 @@ def test_found_and_restored(spark):
 def test_empty_table(spark):
     e = spark.createDataFrame([], "doc_id long, text string, source string")
     assert repair(e, "doc_id", "text", "source").collect() == []
+
+
+def test_fields_are_told_by_stretch():
+    from samewise.llm.garbled import quoted
+
+    t = "Own. > no\n> a quoted line\nown again\n[quote=x]inner [quote]deep[/quote] still[/quote] out <blockquote>b</blockquote> end"
+    parts = stretches(t)
+    said = dict(zip(parts, quoted(t, parts)))
+    assert said["> a quoted line\n"] and not said["own again\n"] and not said["Own. "]
+    inside = "".join(s for s, q in zip(parts, quoted(t, parts)) if q)
+    assert "deep" in inside and "still" in inside and "b" in inside and "end" not in inside and "out" not in inside
+    assert quoted("no quotation", ["no quotation"]) == [False] and all(quoted("[quote] never closed", stretches("[quote] never closed")))
+
+
+def test_signatures_come_back():
+    from samewise.llm.garbled import _read, _runs, signature
+
+    t = "Crème brûlée.\n> déjà vu\nplain\n"
+    parts, fields = _read(signature(t))
+    assert parts == [_runs(s) for s in stretches(t) if _runs(s)] and fields == [False, True]
+    assert signature("plain") == ""
+
+
+def test_text_garbled_many_times_is_repaired_as_often(spark):
+    good, bad = corpus()
+    s = LINES[0]
+    for _ in range(5):
+        s = s.encode().decode("latin1")
+    data = [(i, t, "a") for i, t in enumerate(good)] + [(1000 + i, b, "a") for i, (_, b) in enumerate(bad.values())] + [(9999, s, "a")]
+    out = {r["doc_id"]: r for r in repair(spark.createDataFrame(data, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()}
+    assert out[9999]["garbled"] and out[9999]["restored"] == LINES[0]
