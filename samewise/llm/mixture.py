@@ -1,13 +1,16 @@
 """A mixture of sources with target shares of all tokens.
 
 The tokens of each source are packed, document after document, into blocks of equal length. How many slots of each output shard go
-to each source is drawn from a multinomial distribution over what is still due, so the counts vary by shard and add up exactly.
+to each source is drawn from the multinomial distribution of what is due, by a tree of splits, so the counts vary by shard and add
+up exactly.
 A slot's number among its source's slots is mapped through a pseudorandom permutation of the source's blocks, a new one for each
 time round, and the blocks are joined by their index. No block is used more often than its source allows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,34 +98,86 @@ def quotas(have: dict[str, int], share: dict[str, float], repeats: dict[str, int
     return out
 
 
-def draw(due: dict[str, int], shard_slots: int, seed: int) -> list[tuple[int, str, int, int, int, int]]:
-    """(shard, source, count, slots of the source in earlier shards, slots of earlier sources in the shard, slots of the shard): the
-    multinomial counts. As many entries as shards times sources."""
-    names, rng = sorted(due), np.random.default_rng(seed)
-    left = np.array([due[s] for s in names], dtype=np.int64)
-    given, out, shard = np.zeros_like(left), [], 0
-    while left.sum():
-        m = int(min(shard_slots, left.sum()))
-        got = np.zeros_like(left)
-        while got.sum() < m:
-            room = left - got
-            got = np.minimum(left, got + rng.multinomial(m - got.sum(), room / room.sum()))
-        before = 0
-        for i, s in enumerate(names):
-            if got[i]:
-                out.append((shard, s, int(got[i]), int(given[i]), before, m))
-                before += int(got[i])
-        given, left, shard = given + got, left - got, shard + 1
+def split(due: np.ndarray, left: int, right: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's due slots fall into the first left of left + right slots: the multinomial draw with what is due as its
+    limit. Where it is too large to be drawn at once, each source is drawn and what the sum is off by is drawn again."""
+    if not left or not right:
+        return due if left else np.zeros_like(due)
+    if left + right < 10**9:
+        return rng.multivariate_hypergeometric(due, left)
+    got = rng.binomial(due, left / (left + right))
+    while off := left - int(got.sum()):
+        room = due - got if off > 0 else got
+        step = np.minimum(rng.multinomial(abs(off), room / room.sum()), room)
+        got = got + step if off > 0 else got - step
+    return got
+
+
+def shares_of(due: np.ndarray, shards: int, shard_slots: int, seed: int, first: int = 0, last: int | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, counts, slots of each source in earlier shards) of the shards first to last - 1. The shards are the leaves of a tree; each
+    inner node splits what is due among its halves by a draw seeded with the node, so a leaf is found from the root without its
+    neighbours: any range of shards can be drawn by itself, on any machine, and always comes out the same."""
+    total, last = int(due.sum()), shards if last is None else last
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def walk(lo: int, hi: int, mine: np.ndarray, before: np.ndarray) -> None:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            out.append((lo, mine, before))
+            return
+        mid = (lo + hi) // 2
+        slots = lambda i: min(total, i * shard_slots)
+        rng = np.random.default_rng([seed, lo, hi])
+        here = split(mine, slots(mid) - slots(lo), slots(hi) - slots(mid), rng)
+        walk(lo, mid, here, before)
+        walk(mid, hi, mine - here, before + here)
+
+    if shards:
+        walk(0, shards, due.astype(np.int64), np.zeros(len(due), dtype=np.int64))
+    return out
+
+
+#: Shards that one row of the plan draws.
+RANGE = 64
+
+
+def draw(due: dict[str, int], shard_slots: int, seed: int, first: int = 0, last: int | None = None) -> list[tuple[int, str, int, int, int, int]]:
+    """(shard, source, count, slots of the source in earlier shards, slots of earlier sources in the shard, slots of the shard) of the
+    shards first to last - 1, or of all."""
+    names = sorted(due)
+    shards = -(-sum(due.values()) // shard_slots)
+    out = []
+    for shard, counts, given in shares_of(np.array([due[s] for s in names], dtype=np.int64), shards, shard_slots, seed, first, last):
+        before, m = 0, int(counts.sum())
+        for s, k, g in zip(names, counts.tolist(), given.tolist()):
+            if k:
+                out.append((shard, s, k, g, before, m))
+                before += k
     return out
 
 
+def drawn(spark: SparkSession, due: dict[str, int], shard_slots: int, seed: int) -> DataFrame:
+    """(shard, source, count, given, before, slots) of all shards, drawn in the executors by ranges of shards."""
+    ranges = -(-(-(-sum(due.values()) // shard_slots)) // RANGE)
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"]:
+                yield pd.DataFrame(draw(due, shard_slots, seed, int(i) * RANGE, (int(i) + 1) * RANGE), columns=["shard", "source", "count", "given", "before", "slots"])
+
+    numbers = spark.range(ranges).repartition(max(1, min(width(spark), ranges)))
+    return numbers.mapInPandas(some, "shard long, source string, count long, given long, before long, slots long")
+
+
 def mix(docs: DataFrame, targets: DataFrame, ident: str, text: str, source: str, length: int = 128, shard_slots: int = 4096, seed: int = 17, total: int | None = None, **tokenizer) -> tuple[DataFrame, DataFrame]:
     """The mixture (shard, slot, source, block, round, ids) and its report (source, target_share, actual_share, tokens,
     available_tokens, times, max_repeats), one row for each source of targets.
 
     docs of sources not in targets, or with a null source, take no part; empty and null texts have no tokens; a source without
     tokens gets none and a share of 0. targets: source, target_share, max_repeats; it is configuration and read to the driver, at
-    most 10,000 rows. Block and shard counts by source are all else that comes to the driver. Repeated doc ids are packed next to
+    most 10,000 rows. Block and token counts by source are all else that comes to the driver; the
+    shards' counts are drawn in the executors. Repeated doc ids are packed next to
     each other. max_repeats bounds how often any token of a source occurs.
     """
     spark = docs.sparkSession
@@ -138,9 +193,8 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str, text: str, source: str,
     counts = {r["source"]: (r["blocks"], r["tokens"]) for r in blocks.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("ids")).alias("tokens")).collect()}
     goal = quotas({s: t for s, (_, t) in counts.items()}, share, repeats, total)
     due = {s: min(repeats[s] * counts[s][0], max(0, round(q * counts[s][0] / counts[s][1]))) for s, q in goal.items()}
-    plan = [(*row, counts[row[1]][0], names.index(row[1])) for row in draw({s: k for s, k in due.items() if k}, shard_slots, seed)]
-    shape = "shard int, source string, count long, given long, before long, slots long, blocks long, number int"
-    slots = spark.createDataFrame(plan, shape).repartition(width(spark), "shard", "source")
+    numbers = spark.createDataFrame([(s, counts[s][0], names.index(s)) for s in due] or [], "source string, blocks long, number int")  # one row a source
+    slots = drawn(spark, {s: k for s, k in due.items() if k}, shard_slots, seed).join(F.broadcast(numbers), "source")
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("j"))
     g = F.col("given") + F.col("j")
     slots = slots.withColumn("round", F.floor(g / F.col("blocks")).cast("int"))

@@ -85,12 +85,13 @@ def _best(rows: DataFrame, n: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("p"), F.asc("m")))).where(F.col("rank") <= n)
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_bytes: int = 4 << 20) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_bytes: int = 4 << 20, taken: list[DataFrame] | None = None) -> DataFrame:
     """group, item, score and rank (1 to n) of the n distinct items with the highest score in each group.
 
     A repeated item counts once, with its highest score; of equal scores the smaller item (as a string) comes first; a group with
     fewer items gives all it has. Rows with a null group, item or score or a NaN score don't count; an empty table gives none;
-    further columns, whatever their names, are not read. row_group_bytes: size of the row groups that are read or skipped.
+    further columns, whatever their names, are not read. row_group_bytes: size of the row groups that are read or skipped. taken: a
+    list that gets the tables (file, rg) of the row groups read, for those who want to know what was skipped.
     """
     spark = df.sparkSession
     groups = catalog(spark, cluster_by_group(df, group, item, score, row_group_bytes))
@@ -99,6 +100,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_by
     falling = Window.partitionBy("g_lo").orderBy(F.desc("p_hi"), "file", "rg")
     ranked = cut(groups.where(inside).withColumn("turn", F.row_number().over(falling)))
     start = groups.where(~inside).select("file", "rg").unionByName(ranked.where("turn = 1").select("file", "rg"))
+    taken = [] if taken is None else taken
+    taken.append(start)
     best = _best(_read_groups(start, n), n)
     last = ranked.agg(F.max("turn")).first()[0] or 1
     if last > 1:
@@ -110,7 +113,8 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, row_group_by
             due = cut(due.select("file", "rg", "g_lo", "turn"))
             if due.isEmpty():
                 break
-            more = _read_groups(due.where(F.col("turn") <= high), n)
+            taken.append(due.where(F.col("turn") <= high).select("file", "rg"))
+            more = _read_groups(taken[-1], n)
             best = cut(_best(best.drop("rank").unionByName(more), n))
             low, high = high + 1, 2 * high + 1
     return best.select(F.col("g").alias(group), F.col("m").alias(item), F.col("p").alias(score), F.col("rank").cast("int").alias("rank"))

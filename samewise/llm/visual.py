@@ -11,25 +11,25 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samewise.session import cut, table
 
-# Letters of Cyrillic and Greek that are drawn like a Latin letter, each above or before its Latin one.
-CYRILLIC = "АВЕЅІЈКМНОРСТХаеоријсухѕһԁԛԝ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTXaeopиjcyxshdqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
-GREEK_LATIN = "ABEZHIKMNOPTYXvo"
-UKRAINIAN_I = ("і", "i")
+# Letters that are drawn like a Latin one, by script.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеоіјрсухѕһԁԛԝѵ", "ABESIJKMHOPCTXaeoijpcyxshdqwv", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορν", "ABEZHIKMNOPTYXaopv", strict=True))
+ARMENIAN = dict(zip("օսոհ", "ounh", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+OTHERS = {"ɡ": "g", "ꓐ": "B", "ꓑ": "P", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U"}
 
-_LIKE = {a: b for a, b in zip(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN) if a != b} | dict([UKRAINIAN_I])
-_TO_CYRILLIC = {b: a for a, b in zip(CYRILLIC, CYRILLIC_LATIN) if a != b} | {UKRAINIAN_I[1]: UKRAINIAN_I[0]}
-_TO_GREEK = dict(zip(GREEK_LATIN, GREEK))
+_LIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | OTHERS
+_TO_CYRILLIC = {b: a for a, b in CYRILLIC.items()}
+_TO_GREEK = {b: a for a, b in GREEK.items()}
 _LIKE_TABLE = str.maketrans(_LIKE)
-#: Compatibility mappings that keep the look: width, no-break forms, ligatures. A superscript, fraction or circled letter looks otherwise.
-_SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
+#: Compatibility mappings that keep the look: width, no-break forms, ligatures, fonts. A superscript, fraction or circled letter looks otherwise.
+_SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>"}
 
 
 @lru_cache(1 << 16)
@@ -88,15 +88,38 @@ def fold(s: str | None) -> str | None:
     return None if s is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", look(s)).casefold())
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("look", "form", "fold")]))
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("form", "fold")]))
 def _forms(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"look": s.map(look, na_action="ignore"), "form": s.map(form, na_action="ignore"), "fold": s.map(fold, na_action="ignore")})
+    return pd.DataFrame({"form": s.map(form, na_action="ignore"), "fold": s.map(fold, na_action="ignore")})
+
+
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(fold, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _looks(s: pd.Series) -> pd.Series:
+    return s.map(look, na_action="ignore")
+
+
+#: In plain ASCII the fold is lower case and single gaps, which compiles.
+_ASCII = "^[\\x00-\\x7f]*$"
+
+
+def folded(c: Column) -> Column:
+    """The fold of a column: of ASCII text in the JVM, of other text by one pass over the batch."""
+    plain = F.lower(F.trim(F.regexp_replace(c, "[\\x09-\\x0d\\x1c-\\x20]+", " ")))
+    return F.when(c.rlike(_ASCII) & ~c.rlike("[\\x00-\\x08\\x0e-\\x1b\\x7f]"), plain).otherwise(_folded(c))
+
+
+def distinct_values(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.col(f"`{text}`").alias("value")).where("value is not null").distinct()
 
 
 def distinct_forms(df: DataFrame, text: str) -> DataFrame:
-    """Each distinct value of df's column text that isn't null, with its look, form and fold."""
-    values = df.select(F.col(f"`{text}`").alias("value")).where("value is not null").distinct()
-    return values.withColumn("f", _forms("value")).select("value", "f.look", "f.form", "f.fold")
+    """Each distinct value of df's column text that isn't null, with its form and fold."""
+    return distinct_values(df, text).withColumn("f", _forms("value")).select("value", "f.form", "f.fold")
 
 
 def canonical(df: DataFrame, text: str) -> DataFrame:
@@ -110,12 +133,13 @@ def canonical(df: DataFrame, text: str) -> DataFrame:
 def same_look_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
     """entity_id_a < entity_id_b: the pairs of rows of df whose text looks the same but is stored in other characters.
 
-    Values are grouped by their fold, then held against each other by their look. Only rows whose value has such a partner are
-    joined: many rows of one and the same value cost nothing. Null ids or texts are in no pair; repeated ids count once.
+    Values are grouped by their fold; only those that share it with another one are then held against each other by their look, for
+    the fold takes case away. Only rows whose value has such a partner are joined: many rows of one and the same value cost nothing.
+    Null ids or texts are in no pair; repeated ids count once.
     """
-    values = cut(distinct_forms(df, text).select("value", "look", "fold"))
-    several = values.groupBy("fold", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fold", "look")
-    met = values.join(several, ["fold", "look"])
+    values = cut(distinct_values(df, text).withColumn("fold", folded(F.col("value"))))
+    met = values.join(values.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fold"), "fold")
+    met = cut(met.withColumn("look", _looks("value")))
     a = met.select(F.col("fold"), F.col("look"), F.col("value").alias("va"))
     b = met.select(F.col("fold"), F.col("look"), F.col("value").alias("vb"))
     pairs = a.join(b, ["fold", "look"]).where("va < vb").select("va", "vb")

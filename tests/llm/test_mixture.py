@@ -58,3 +58,34 @@ def test_no_documents(spark):
     t = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
     mixture, report = mix(d, t, "doc_id", "text", "source")
     assert mixture.collect() == [] and report.first()["actual_share"] == 0.0
+
+
+def test_any_range_of_shards_is_drawn_by_itself():
+    due = {"a": 1000, "b": 37, "c": 1, "d": 0}
+    every = draw(due, 16, 5)
+    assert [r for lo in range(0, 80, 7) for r in draw(due, 16, 5, lo, lo + 7)] == every
+    given = {}
+    for shard, s, k, g, before, m in every:
+        assert g == given.get(s, 0)
+        given[s] = g + k
+    assert draw(due, 16, 6) != every
+
+
+def test_splits_too_large_for_one_draw():
+    from samewise.llm.mixture import split
+
+    due = np.array([9 * 10**12, 10**12, 5, 0])
+    total = int(due.sum())
+    got = split(due, total // 4, total - total // 4, np.random.default_rng(1))
+    assert got.sum() == total // 4 and (got <= due).all() and abs(got[0] / due[0] - 0.25) < 1e-4
+
+
+def test_small_sources_repeat_up_to_their_cap_under_a_wanted_size(spark):
+    docs = spark.createDataFrame([(i, "some words of the large source and more of them " * 8, "large") for i in range(40)] + [(100 + i, "few words here " * 9, "small") for i in range(3)] + [(200, None, "small"), (201, "", None)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("large", 0.5, 1), ("small", 0.5, 3), ("none", 0.0, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    mixture, report = mix(docs, targets, "doc_id", "text", "source", 16, 32, 1, 2000)
+    got = {r["source"]: r for r in report.collect()}
+    assert got["small"]["times"] <= 3.0001 and got["small"]["times"] > 2.5 and got["large"]["times"] <= 1.0001 and got["none"]["tokens"] == 0
+    rows = mixture.collect()
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+    assert max(Counter((r["source"], r["block"]) for r in rows if r["source"] == "small").values()) == 3

@@ -47,3 +47,14 @@ def test_row_groups_are_skipped(spark):
 def test_empty_and_all_null(spark):
     assert top_n(spark.createDataFrame([], SCHEMA), "s1", "m", "p", 5).collect() == []
     assert top_n(spark.createDataFrame([("a", "m", None, "", ""), (None, "m", 1.0, "", "")], SCHEMA), "s1", "m", "p", 5).collect() == []
+
+
+def test_row_groups_below_the_nth_score_are_not_read(spark):
+    data = [("hot", f"m{i:06d}", i / 20000, "", "") for i in range(20000)] + [("flat", f"m{i:06d}", 0.5, "", "") for i in range(20000)] + [(f"g{i}", "x", 0.1, "", "") for i in range(500)]
+    df = spark.createDataFrame(data, SCHEMA)
+    taken = []
+    assert sorted(tuple(r) for r in top_n(df, "s1", "m", "p", 5, 1, taken).collect()) == brute(data, 5)
+    read = {(r["file"], r["rg"]) for t in taken for r in t.collect()}
+    groups = catalog(spark, cluster_by_group(df, "s1", "m", "p", 1)).collect()
+    hot = [g for g in groups if g["g_lo"] == g["g_hi"] == "hot"]
+    assert len(hot) > 3 and len(read) <= len(groups) - (len(hot) - 2)  # of the hot group one row group, perhaps one beside it; ties of the other are all read

@@ -32,3 +32,22 @@ def test_pairs_against_brute_force(spark):
     out = canonical(df, "business_name").collect()
     assert len(out) == len(data) and [r["business_name_form"] for r in out if r["business_name"] is None] == [None]
     assert same_look_pairs(spark.createDataFrame([], ROWS), "entity_id", "business_name").collect() == []
+
+
+@pytest.mark.parametrize("a, b", [("ριns".replace("ι", "i"), "pins"), ("оԝl", "owl"), ("հօսո", "houn"), ("ᎪᏟᎬ", "ACE"), ("𝐀cme", "Acme"), ("ɡo", "go"), ("ѵan", "van")])
+def test_look_alikes_of_many_scripts(a, b):
+    assert look(a) == look(b) and fold(a) == fold(b)
+
+
+def test_tables_are_pairs_of_single_letters():
+    from samewise.llm import visual as V
+
+    assert all(len(a) == len(b) == 1 and a != b for t in (V.CYRILLIC, V.GREEK, V.ARMENIAN, V.CHEROKEE, V.OTHERS) for a, b in t.items())
+
+
+def test_fold_of_ascii_in_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["Acme  Co", " a\tb\nc ", "A\x0bB\x1cC", "\x00x\x1fy", "", " ", "Straße", "ＡＢ", "a\x85b", "\x7f"]
+    got = spark.createDataFrame([(t,) for t in texts], "v string").select("v", __import__("samewise.llm.visual", fromlist=["folded"]).folded(F.col("v")).alias("f")).collect()
+    assert all(r["f"] == fold(r["v"]) for r in got), [(r["v"], r["f"], fold(r["v"])) for r in got if r["f"] != fold(r["v"])]
