@@ -5,6 +5,10 @@ whatever document it stands. Each distinct chunk is encoded once; documents are
 chunk's end the ids can differ from those of the whole text. What the splitting pattern finds from a position on depends only on
 the text from there on, so a join is repaired by splitting again from the last piece that can't depend on the next chunk, until a
 piece ends where the next chunk, split alone, also has an end. From there on both agree, and the chunk's own ids hold.
+
+What a join needs is known from the text alone: how many bytes of either chunk's ids hold, and the ids between them. So joins are
+settled where the text is cut, and from there on documents travel as the keys of their chunks; no text is shuffled but the
+distinct chunks, once.
 """
 
 from __future__ import annotations
@@ -79,51 +83,73 @@ def _ends(text: str, limit: int | None = None) -> list[int]:
     return out
 
 
-def join_ids(parts: list[tuple[str, list[int]]], enc: tiktoken.Encoding) -> list[int]:
-    """The ids of the joined texts from each one's own ids, the joins repaired. Exactly enc.encode_ordinary("".join(texts))."""
-    ids: list[int] = []
-    done = None  # the text whose ids are still to be decided at the end of `ids`: (text, its ids) of the last part taken
-    sizes = enc_sizes(enc)
-    for text, own in parts:
-        if done is None:
-            done = (text, own)
+Part = tuple[str, int, int, list[int]]
+
+
+def _bytes(s: str) -> int:
+    return len(s.encode("utf-8", "surrogatepass"))
+
+
+def joints(parts: list[str], enc: tiktoken.Encoding) -> list[Part]:
+    """Of each chunk (text, from, to, then): its ids hold from that byte on up to that one (-1: to its end), then come the ids `then`.
+    Chunks whose join doesn't come to an agreement are one chunk."""
+    out: list[Part] = []
+    text, start = None, 0  # the chunk whose end is still open, and where in it (in characters) its own ids begin to hold
+    for new in parts:
+        if text is None:
+            text = new
             continue
-        last, last_ids = done
-        if text[:1].isspace() and last[-1:] and not last[-1:].isspace():
-            ids.extend(last_ids)  # a piece never goes from a character into white space: this join is exact
-            done = (text, own)
+        last = text[start:]
+        if new[:1].isspace() and last[-1:] and not last[-1:].isspace():
+            out.append((text, _bytes(text[:start]), -1, []))  # a piece never goes from a character into white space: this join is exact
+            text, start = new, 0
             continue
-        ends = _ends(last)
-        keep = max((e for e in ends if e <= len(last) - _SEEN), default=0)
-        whole = last[keep:] + text
-        theirs = iter([0, *_ends(text)])
-        b, agreed = next(theirs), None
+        keep = max((e for e in _ends(last) if e <= len(last) - _SEEN), default=0)
+        whole = last[keep:] + new
+        theirs = iter([0, *_ends(new)])
+        at, agreed = next(theirs), None
         pieces = _ends(whole)
         for e in pieces:
             e -= len(last) - keep
-            while b is not None and b < e:
-                b = next(theirs, None)
-            if b == e and e <= len(text) - _SEEN and e > 0:
+            while at is not None and at < e:
+                at = next(theirs, None)
+            if at == e and 0 < e <= len(new) - _SEEN:
                 agreed = e
                 break
-        kept = _ids_until(last_ids, sizes, len(last[:keep].encode("utf-8", "surrogatepass")))
-        ids.extend(last_ids[:kept])
-        if agreed is None:  # no agreement within this chunk: both are one chunk from here on
-            done = (whole, enc.encode_ordinary(whole))
+        if agreed is None:
+            if keep:  # what comes before the open end stands by itself
+                out.append((text, _bytes(text[:start]), _bytes(text[: start + keep]), []))
+            text, start = whole, 0
             continue
-        start = 0
+        then, a = [], 0
         for e in pieces:  # each by itself: white space at the end of a shorter text would be split otherwise
             if e > len(last) - keep + agreed:
                 break
-            ids.extend(enc.encode_ordinary(whole[start:e]))
-            start = e
-        skip = _ids_until(own, sizes, len(text[:agreed].encode("utf-8", "surrogatepass")))
-        done = (text[agreed:], own[skip:])
-    if done is not None:
-        ids.extend(done[1])
+            then.extend(enc.encode_ordinary(whole[a:e]))
+            a = e
+        out.append((text, _bytes(text[:start]), _bytes(text[: start + keep]), then))
+        text, start = new, agreed
+    if text is not None:
+        out.append((text, _bytes(text[:start]), -1, []))
+    return out
+
+
+def assembled(own: list[list[int]], joins: list[tuple[int, int, list[int]]], sizes: list[int]) -> list[int]:
+    """The ids of a document from the ids of its chunks and (from, to, then) of each."""
+    ids: list[int] = []
+    for x, (lo, hi, then) in zip(own, joins, strict=True):
+        ids.extend(x[_ids_until(x, sizes, lo) : len(x) if hi < 0 else _ids_until(x, sizes, hi)])
+        ids.extend(then)
     return ids
 
 
+def join_ids(parts: list[tuple[str, list[int]]], enc: tiktoken.Encoding) -> list[int]:
+    """The ids of the joined texts, the joins repaired. Exactly enc.encode_ordinary("".join(texts))."""
+    known = dict(parts)
+    plan = joints([t for t, _ in parts], enc)
+    return assembled([known[t] if t in known else enc.encode_ordinary(t) for t, *_ in plan], [x[1:] for x in plan], enc_sizes(enc))
+
+
 def _ids_until(ids: list[int], sizes: np.ndarray, n_bytes: int) -> int:
     """How many of ids make up the first n_bytes of their text, where a piece ends."""
     total = k = 0
@@ -151,35 +177,39 @@ def encode(df: DataFrame, ident: str, text: str, vocabulary: str = "byte_bpe_50k
     rows = df.select(F.col(f"`{ident}`").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoding(tokenizers, vocabulary)
         for pdf in batches:
-            parts = [chunks(t, mean_chars, most_chars) for t in pdf["text"]]
-            yield pd.DataFrame({"doc": pdf["doc"], "row": pdf["row"], "parts": parts})
+            plans = [joints(chunks(t, mean_chars, most_chars), enc) for t in pdf["text"]]
+            # most joins are exact: what they hold from and to takes no space where it says nothing
+            cols = {"parts": [[p[0] for p in x] for x in plans], "lo": [[p[1] for p in x] for x in plans], "hi": [[p[2] for p in x] for x in plans], "then": [[p[3] for p in x] for x in plans]}
+            yield pd.DataFrame({"doc": pdf["doc"], "row": pdf["row"], **cols})
 
     # The row's number is drawn once and written: a row keeps it whatever is computed again.
     kind = dict(df.dtypes)[ident]
-    cut = staged(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut_up, f"doc {kind}, row long, parts array<string>"), "chunks")
-    each = cut.select("row", F.posexplode("parts").alias("k", "part")).withColumn("key", F.md5("part"))
+    shape = f"doc {kind}, row long, parts array<string>, lo array<int>, hi array<int>, then array<array<int>>"
+    cut = staged(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut_up, shape), "chunks")
+    key = F.unhex(F.md5("part"))
 
     def encode_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(tokenizers, vocabulary)
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "ids": [enc.encode_ordinary(p) for p in pdf["part"]]})
 
-    distinct = each.groupBy("key").agg(F.first("part").alias("part"))
-    encoded = distinct.mapInPandas(encode_all, "key string, ids array<int>")
-    found = each.select("row", "k", "key").join(encoded, "key")
+    distinct = cut.select(F.explode("parts").alias("part")).distinct().select(key.alias("key"), "part")
+    encoded = distinct.mapInPandas(encode_all, "key binary, ids array<int>")
+    found = cut.select("row", F.posexplode("parts").alias("k", "part")).select("row", "k", key.alias("key")).join(encoded, "key")
     of_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("got"))
 
     def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(tokenizers, vocabulary)
+        sizes = enc_sizes(encoding(tokenizers, vocabulary))
         for pdf in batches:
             out = []
-            for parts, got in zip(pdf["parts"], pdf["got"]):
-                own = [] if got is None else [g.tolist() if isinstance(g, np.ndarray) else list(g) for g in got]
-                out.append(join_ids(list(zip(parts, own, strict=True)), enc))
+            for got, *joins in zip(pdf["got"], pdf["lo"], pdf["hi"], pdf["then"]):
+                own = [] if got is None else [list(g) for g in got]
+                out.append(assembled(own, [(int(a), int(b), list(c)) for a, b, c in zip(*joins)], sizes))
             yield pd.DataFrame({ident: pdf["doc"], "ids": out})
 
-    joined = cut.join(of_row.select("row", F.col("got.ids").alias("got")), "row", "left").select("doc", "parts", "got")
+    joined = cut.join(of_row.select("row", F.col("got.ids").alias("got")), "row", "left").select("doc", "lo", "hi", "then", "got")
     return joined.mapInPandas(put_together, f"`{ident}` {kind}, ids array<int>").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
