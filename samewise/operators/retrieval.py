@@ -173,15 +173,20 @@ def sorted_neighbourhood(rows: DataFrame, key: str, window: int = 5) -> DataFram
     return j.select(F.when(F.col("s") == 1, F.col("i")).otherwise(F.col("id")).alias("q"), F.when(F.col("s") == 1, F.col("id")).otherwise(F.col("i")).alias("c")).distinct()
 
 
-def dense_top_k(q: DataFrame, d: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """(q, c, score, rank): the k vectors of d with the highest inner product for each of q in the same country. Both sides are cut
-    into blocks; a task holds one block of each, keeps the k best of each query and passes those on, never all pairs. All of q against
-    all of d is what an exact search is."""
+def dense_top_k(q: DataFrame, d: DataFrame, k: int, rows: int = 4096, blocks: int | None = None) -> DataFrame:
+    """(q, c, score, rank): the k vectors of d with the highest inner product for each of q in the same country. Both sides of a country are
+    cut into blocks of about rows vectors, as many as its size asks for (or blocks of them); a task holds one block of each, keeps the k best of each query
+    and passes those on, never all pairs. All of q against all of d is what an exact search is."""
     import numpy as np
     import pandas as pd
 
-    a = q.select("id", "country", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("bq")).withColumn("bc", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-    b = d.select("id", "country", "vector", F.pmod(F.hash("id"), F.lit(blocks)).alias("bc")).withColumn("bq", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    count = lambda df, n: df.groupBy("country").agg((F.ceil(F.count(F.lit(1)) / rows).cast("int") if blocks is None else F.lit(blocks)).alias(n))
+    size = F.broadcast(count(q, "nq").join(count(d, "nd"), "country"))  # one row a country
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = [F.col(c).alias(c) for c in ("id", "country", "vector")]  # both sides may be parts of one table
+    a = q.join(size, "country").select(*own, block("nq").alias("bq"), all_("nd").alias("bc"))
+    b = d.join(size, "country").select(*own, block("nd").alias("bc"), all_("nq").alias("bq"))
     kind = dict(q.dtypes)["id"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -198,10 +203,14 @@ def dense_top_k(q: DataFrame, d: DataFrame, k: int, blocks: int = 8) -> DataFram
 
 
 def hashed_vector(grams: Column, size: int = 64) -> Column:
-    """A stand-in for a learned encoder: hashed counts of grams, of length 1."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(size)) == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """A stand-in for a learned encoder: hashed counts of grams, of length 1. The grams are gone through once."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.aggregate(
+        F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(size))),
+        F.array_repeat(F.lit(0.0), size),
+        lambda v, b: F.transform(v, lambda x, i: F.when(i == b, x + 1).otherwise(x)),
+        lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0)),
+    )
 
 
 def house_keys(rows: DataFrame, share: float = 0.002, rarest: int = 2) -> tuple[DataFrame, DataFrame]:

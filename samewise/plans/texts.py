@@ -501,6 +501,13 @@ def bl_dense_reverse(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_top_k(c, q, 3)
 
 
+@query()
+def bl_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """The three records nearest to each clean row by hashed vectors of its name, where no learned encoder is at hand."""
+    x = biz(spark, d).select("side", "id", "country", R.hashed_vector(N.char_grams(N.tokens(F.col("n")))).alias("vector")).distinct()
+    return R.dense_top_k(x.where("side = 1").drop("side"), x.where("side = 2").drop("side"), 3)
+
+
 _COS = f"""ct AS (SELECT id, unnest(list_distinct(list_concat({_TOK.format('n')}, {_TOK.format('a')}))) AS t FROM one), cd AS (SELECT t, ln((1 + (SELECT count(*) FROM one))::DOUBLE / (1 + count(*))) + 1 AS w FROM ct GROUP BY t), cw AS (SELECT id, t, w FROM ct JOIN cd USING (t)), cn AS (SELECT id, sqrt(sum(w * w)) AS nrm FROM cw GROUP BY id),
     ch AS (SELECT q, c, sum(x.w * y.w) AS dot FROM cp JOIN cw x ON x.id = q JOIN cw y ON y.id = c AND y.t = x.t GROUP BY q, c), cc AS (SELECT cp.q, cp.c, round(coalesce(dot / (a.nrm * b.nrm), 0), 6) AS cosine FROM cp LEFT JOIN ch ON ch.q = cp.q AND ch.c = cp.c LEFT JOIN cn a ON a.id = cp.q LEFT JOIN cn b ON b.id = cp.c)"""
 _ONE = "one AS (SELECT side, id, r.n AS n, r.a AS a FROM (SELECT side, id, min(struct_pack(n := n, a := a)) AS r FROM cl GROUP BY side, id))"

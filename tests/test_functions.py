@@ -79,3 +79,9 @@ def test_ratios():
 
 def test_null_pairs(spark):
     assert spark.createDataFrame([(None, "a"), ("a", "a")], "a string, b string").select(udf_ratio("a", "b")).collect() == [(None,), (100.0,)]
+
+
+def test_primary_codes_of_known_words():
+    known = "smith SM0, schmidt XMT, thomas TMS, wright RT, catherine K0RN, kathryn K0RN, philip FLP, xavier SF, jose HS, michael MKL, charles XRLS, bacher PKR, caesar SSR, edge AJ, edgar ATKR, hugh H, laugh LF, gnome NM, ghost KST, dumb TM, school SKL, schermerhorn XRMRRN, sugar XKR, island ALNT, match MX, wachtler AKTLR, gallegos KLKS, accident AKSTNT, bellocchio PLX, focus FKS, campbell KMPL, filipowicz FLPTS, breaux PR, resnais RSN, succeed SKST, physics FSKS"
+    assert {w: code(w) for w, _ in map(str.split, known.split(", "))} == dict(map(str.split, known.split(", ")))
+    assert code("123") == code("é") == "" and len(code("schwarz" * 2000)) > 2000
