@@ -430,7 +430,7 @@ def sc_id_lists(spark: SparkSession, d: str) -> DataFrame:
     return id_lists(s1(spark, d).select(F.col("entity_id").alias("s1")), D.decode(scored(spark, d), 0.6))
 
 
-@query(f"WITH {SCORED}, b AS (SELECT country, y, {_BAND} AS band FROM scored WHERE p >= 0.5) SELECT band, count(CASE WHEN country = 'India' THEN 1 END)::BIGINT AS india, count(CASE WHEN country = 'US' THEN 1 END)::BIGINT AS us, count(CASE WHEN country = 'France' THEN 1 END)::BIGINT AS france FROM b GROUP BY band")
+@query(f"WITH {SCORED}, b AS (SELECT country, {_BAND} AS band FROM scored WHERE p >= 0.5) SELECT band, count(CASE WHEN country = 'India' THEN 1 END)::BIGINT AS india, count(CASE WHEN country = 'US' THEN 1 END)::BIGINT AS us, count(CASE WHEN country = 'France' THEN 1 END)::BIGINT AS france FROM b GROUP BY band")
 def ag_pivot(spark: SparkSession, d: str) -> DataFrame:
     x = scored(spark, d).where("p >= 0.5").withColumn("band", D.band(F.col("p")))
     return x.groupBy("band").pivot("country", ["India", "US", "France"]).agg(F.count(F.lit(1))).na.fill(0).select("band", F.col("India").alias("india"), F.col("US").alias("us"), F.col("France").alias("france"))
