@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from samewise import session
 from samewise.operators import models as M
@@ -38,6 +39,13 @@ def test_context_is_made_without_the_features(spark, monkeypatch):
     assert all(r["p"] > 0.5 for r in got if r["m"].endswith("-0")) and seen == [["_i", "s1", "m", "p1"]] * 2
 
 
+def test_candidates_of_labelled_rows_are_those_of_the_whole_run(spark, rows):
+    x = [(s, f"{own}{s}-{i}", f"{own}X", n, a, n, a) for own in ("", "known:") for s in (1, 2) for i, (n, a) in enumerate((("acme works", "12 putajo road"), ("zebra tea", "7 mokisu lane"), ("acme tea", "")))]
+    df = spark.createDataFrame(x, "side int, id string, country string, raw string, addr string, n string, a string")
+    every = [r for r in rows(flow.routes(df)) if r[0].startswith("known:")]
+    assert every and rows(flow.routes(df.where(F.col("id").startswith("known:")))) == every
+
+
 def test_cosine_keeps_a_pair_one_row(spark):
     text = lambda *x: spark.createDataFrame([*x], "id string, tokens array<string>")
     pairs = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("none", "x")], "q string, c string")
